@@ -27,10 +27,11 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def sized(df: DataFrame, rows: int = 500_000) -> DataFrame:
-    """Checkpoints a narrow table and marks it for broadcast only if it was counted to have at most so many rows."""
+def sized(df: DataFrame, most: int = 8 << 20) -> DataFrame:
+    """Checkpoints a table and marks it for broadcast only if its rows were measured to have at most so many bytes."""
     df = durable(df)
-    return F.broadcast(df) if df.count() <= rows else df
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
 
 
 def scratch(spark: SparkSession, name: str) -> str:

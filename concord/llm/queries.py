@@ -5,8 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ppm, simhash
-from .common import table
+from . import pii, ppm, simhash, urlfilter, warc
+from .common import scratch, table
+
+ALLOW = [("example.com", "/en/7"), ("net", "/de/")]
+BLOCK = [("com", "/en/"), ("example.net", "/de/8"), ("org", "/es/")]
+
+
+def op1_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
+def op3_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), ALLOW, BLOCK).withColumnRenamed("id", "page_id")
 
 
 def op5_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +28,12 @@ def op5_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", (~learn).alias("held_out"), "lang_pred", "score")
 
 
+def op6_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
     return found.select(F.col("id").alias("doc_id"), simhash.hex_of("fp").alias("fingerprint"), "component_id")
