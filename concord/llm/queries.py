@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii, ppm, simhash, urlfilter, warc
+from . import pii, ppm, simhash, unigram, urlfilter, warc
 from .common import scratch, table
 
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 ALLOW = [("example.com", "/en/7"), ("net", "/de/")]
 BLOCK = [("com", "/en/"), ("example.net", "/de/8"), ("org", "/es/")]
 
@@ -34,6 +35,15 @@ def op6_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, path).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_sentencepiece_round_trip(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    vocab = unigram.load(vocabulary)
+    coded = unigram.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocab)
+    first, last = (int(vocab.byte_id[[0, 255]][i]) for i in (0, 1))
+    told = coded.withColumns({"n_pieces": F.size("ids").cast("long"), "n_bytes": F.size(F.filter("ids", lambda x: x.between(first, last))).cast("long"), "ids_hash": F.xxhash64("ids")})
+    back = unigram.decode(told, vocab)
+    return back.select("doc_id", "n_pieces", "n_bytes", "ids_hash", F.round("log_score", 3).alias("log_score"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
     return found.select(F.col("id").alias("doc_id"), simhash.hex_of("fp").alias("fingerprint"), "component_id")
