@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii, ppm, simhash, unigram, urlfilter, warc
+from . import pii, ppm, quality, simhash, unigram, urlfilter, warc
 from .common import scratch, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -17,6 +17,11 @@ def op1_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op2_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.learn(docs)).withColumnRenamed("id", "doc_id")
+
+
 def op3_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), ALLOW, BLOCK).withColumnRenamed("id", "page_id")
 
