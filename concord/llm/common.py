@@ -34,6 +34,12 @@ def sized(df: DataFrame, most: int = 8 << 20) -> DataFrame:
     return F.broadcast(df) if size <= most else df
 
 
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Keeps the Arrow batches of whole texts small enough for several Python workers on one executor."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

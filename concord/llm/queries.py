@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii, ppm, quality, simhash, unigram, urlfilter, warc
+from . import ann, backoff, mixing, pii, ppm, quality, simhash, unigram, urlfilter, warc
 from .common import scratch, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -26,6 +26,11 @@ def op3_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), ALLOW, BLOCK).withColumnRenamed("id", "page_id")
 
 
+def op4_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = backoff.score(table(spark, sf_dir, "documents"), min_count=2, backoff=0.4)
+    return told.select(F.col("id").alias("doc_id"), "n_scored", F.round("log_score", 4).alias("log_score"))
+
+
 def op5_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learn = ppm.trainable("doc_id")
@@ -40,6 +45,14 @@ def op6_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, path).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_anisotropic_mips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    model = ann.fit(vectors)
+    index = ann.encode(vectors, model)
+    asked = index.where(F.pmod("id", F.lit(20)) == 0).select("id", "vec")
+    return ann.search(index, asked, model, k=20)
+
+
 def op8_sentencepiece_round_trip(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
     vocab = unigram.load(vocabulary)
     coded = unigram.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocab)
@@ -49,6 +62,12 @@ def op8_sentencepiece_round_trip(spark: SparkSession, sf_dir: str, vocabulary: s
     return back.select("doc_id", "n_pieces", "n_bytes", "ids_hash", F.round("log_score", 3).alias("log_score"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
+def op9_temperature_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    lines = mixing.plan(docs, max_repeats=2.0)
+    return mixing.mix(docs.select("doc_id", "source"), lines)
+
+
 def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
     return found.select(F.col("id").alias("doc_id"), simhash.hex_of("fp").alias("fingerprint"), "component_id")

@@ -128,7 +128,7 @@ def candidates(host: Column, path: Column, rules: Sequence[tuple[str, str]]) ->
         key = F.concat(suffix, F.substring(path, 1, length)) if length else suffix
         fits = (F.length(path) >= length) & (F.size(F.split(host, r"\.")) >= labels) & (F.length(host) > 0)
         out.append(F.when(fits, F.struct(key.alias("key"), F.length(key).alias("n"), F.length(suffix).alias("h"))))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+    return F.filter(F.array(*out).cast("array<struct<key:string,n:int,h:int>>"), lambda x: x.isNotNull())
 
 
 def judge(pages: DataFrame, allow: Sequence[tuple[str, str]], block: Sequence[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", otherwise: str = "allow") -> DataFrame:
