@@ -22,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 MARK = "▁"
 PENALTY = 10.0
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 PART = 1 << 20  # characters of text handled at a time
 LONG = 512  # bytes of a unit
-CELLS = 1 << 22  # units times positions segmented at a time
+CELLS = 1 << 19  # units times positions segmented at a time
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -173,22 +175,27 @@ def segment(vocab: Vocabulary, units: list[bytes]) -> tuple[np.ndarray, np.ndarr
     """
     sizes = np.fromiter(map(len, units), np.int64, len(units))
     order = np.argsort(sizes, kind="stable")
-    parts: list[np.ndarray] = [np.zeros(0, np.int64)] * len(units)
-    scores = np.zeros(len(units))
+    counts, scores = np.zeros(len(units), np.int64), np.zeros(len(units))
+    done: list[tuple[np.ndarray, np.ndarray]] = []
     at = 0
     while at < len(order):
         if sizes[order[at]] > LONG:
-            i = int(order[at])
-            parts[i], scores[i] = _segment_one(vocab, units[i])
-            at += 1
-            continue
-        longest = int(sizes[order[at]]) * 5 // 4 + 4
-        upto = min(int(np.searchsorted(sizes[order], longest, "right")), int(np.searchsorted(sizes[order], LONG, "right")), at + max(1, CELLS // longest))
-        group = order[at:upto]
-        _segment(vocab, [units[i] for i in group], group, parts, scores)
-        at = upto
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
-    return np.concatenate(parts) if parts else np.zeros(0, np.int64), ends, scores
+            group = order[at : at + 1]
+            ids, scores[group] = _segment_one(vocab, units[group[0]])
+            counts[group] = len(ids)
+        else:
+            longest = int(sizes[order[at]]) * 5 // 4 + 4
+            upto = min(int(np.searchsorted(sizes[order], min(longest, LONG), "right")), at + max(1, CELLS // longest))
+            group = order[at:upto]
+            ids, counts[group], scores[group] = _segment(vocab, [units[i] for i in group])
+        done.append((group, ids))
+        at += len(group)
+    ends = np.cumsum(counts)
+    out = np.zeros(int(counts.sum()), np.int64)
+    for group, ids in done:
+        n = counts[group]
+        out[np.repeat(ends[group] - np.cumsum(n), n) + np.arange(len(ids))] = ids
+    return out, ends, scores
 
 
 def _segment_one(vocab: Vocabulary, unit: bytes) -> tuple[np.ndarray, float]:
@@ -224,19 +231,20 @@ def _segment_one(vocab: Vocabulary, unit: bytes) -> tuple[np.ndarray, float]:
     return np.array(out[::-1], np.int64), best[size]
 
 
-def _segment(vocab: Vocabulary, units: list[bytes], group: np.ndarray, parts: list[np.ndarray], scores: np.ndarray) -> None:
+def _segment(vocab: Vocabulary, units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids of all units, their counts, scores) of units of about equal length."""
     rows, sizes = len(units), np.fromiter(map(len, units), np.int64, len(units))
     width = int(sizes.max(initial=0))
     if not width:
-        return
+        return np.zeros(0, np.int64), np.zeros(rows, np.int64), np.zeros(rows)
     flat = np.zeros((rows, width), np.uint8)
     flat[np.arange(width) < sizes[:, None]] = np.frombuffer(b"".join(units), np.uint8)
     lead = (flat & 0xC0) != 0x80
     span = 1 + (flat >= 0xC0).astype(np.int64) + (flat >= 0xE0) + (flat >= 0xF0)
     best = np.full((rows, width + 1), -np.inf)
     best[:, 0] = 0
-    back = np.zeros((rows, width + 1), np.int64)  # where the last piece begins
-    last = np.full((rows, width + 1), -1, np.int64)  # the last piece, -1 for an unknown character
+    back = np.zeros((rows, width + 1), np.int32)  # where the last piece begins
+    last = np.full((rows, width + 1), -1, np.int32)  # the last piece, -1 for an unknown character
     limit = len(vocab.base)
     for p in range(width):
         live = np.flatnonzero((p < sizes) & lead[:, p] & (best[:, p] > -np.inf))
@@ -272,7 +280,6 @@ def _segment(vocab: Vocabulary, units: list[bytes], group: np.ndarray, parts: li
         better = total > best[r, q]
         r, q = r[better], q[better]
         best[r, q], back[r, q], last[r, q] = total[better], p, -1
-    scores[group] = best[np.arange(rows), sizes]
     # walk back from the end of all units at once
     chosen: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
     who, end = np.flatnonzero(sizes > 0), sizes[sizes > 0]
@@ -289,10 +296,8 @@ def _segment(vocab: Vocabulary, units: list[bytes], group: np.ndarray, parts: li
     who = np.concatenate([who[known], owner])
     begin = np.concatenate([begin[known], place])
     piece = np.concatenate([piece[known], vocab.byte_id[flat[owner, place]]])
-    order = np.lexsort((begin, who))
-    cuts = np.cumsum(np.bincount(who, minlength=rows))[:-1]
-    for i, ids in zip(group.tolist(), np.split(piece[order], cuts), strict=True):
-        parts[i] = ids
+    order = np.argsort(who * (width + 1) + begin)
+    return piece[order], np.bincount(who, minlength=rows), best[np.arange(rows), sizes]
 
 
 def units_of(text: str, splits_newline: bool) -> list[str]:
@@ -334,6 +339,7 @@ def encode(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", ids_out:
 
     Columns of these names are replaced. Whole texts are encoded, a bounded number of characters (or one text) at a time.
     """
+    small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in (ids_out, score_out)]
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
 
@@ -366,6 +372,7 @@ def decode_ids(vocab: Vocabulary, ids: list[int]) -> str:
 def decode(rows: DataFrame, vocab: Vocabulary, ids_col: str = "ids", text_out: str = "decoded") -> DataFrame:
     """The input rows, ids_col replaced by text_out. Null ids: null. Control pieces have no text; bytes that aren't UTF-8
     give U+FFFD. Every text comes back as it was, but that a U+2581 in it comes back as a blank."""
+    small_batches(rows.sparkSession)
     keep = [c for c in rows.columns if c not in (ids_col, text_out)]
     shared = rows.sparkSession.sparkContext.broadcast(vocab)
 
