@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, small_batches
 
 CRLF = "\r\n"
 FIELD = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)")
@@ -44,16 +44,19 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     Repeated rows of the response's id and payload: one stays the response, the others revisit it. Null payloads are
     empty; null urls have an empty target. Extra columns are ignored.
     """
+    small_batches(pages.sparkSession)
     url = F.regexp_replace(F.coalesce(F.col(f"`{url_col}`"), F.lit("")), r"[\r\n]", " ")
     payload = F.coalesce(F.col(f"`{payload_col}`"), F.lit(""))
     rows = pages.select(F.col(f"`{id_col}`").alias("id"), url.alias("url"), payload.alias("body"))
     rows = rows.withColumn("digest", F.sha2(F.col("body").cast("binary"), 256)).withColumn("size", F.octet_length("body"))
-    known = durable(resolve(pages, id_col, payload_col, min_bytes))
-    joined = rows.join(known, (rows["id"].eqNullSafe(known["id"])) & (rows["digest"] == known["digest"]), "left").select(rows["*"], "refers_to")
-    own = F.col("id").isNotNull() & (F.col("refers_to") == F.col("id"))
+    key = F.concat_ws(":", "digest", F.coalesce(F.col("id").cast("string"), F.lit("null"))).alias("key")
+    known = durable(resolve(pages, id_col, payload_col, min_bytes).select(key, "refers_to"))
+    own = F.coalesce(F.col("refers_to") == F.col("id"), F.lit(False))
+    # payloads move once: rows of one key are together for the join and for settle()
+    dealt = rows.select("*", key).repartition("key").join(known, "key", "left").withColumn("own", own).sortWithinPartitions("key")
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by digest and id: the first of the response's own rows is the response."""
+        """Rows sorted by key: the first of the response's own rows is the response."""
         last = None
         for batch in batches:
             revisit = []
@@ -64,7 +67,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
             yield batch.append_column("revisit", pa.array(revisit, pa.bool_()))
 
     kind = pages.schema[id_col].dataType.simpleString()
-    dealt = joined.withColumn("own", F.coalesce(own, F.lit(False))).repartition("digest", "id").sortWithinPartitions("digest", "id")
+    dealt = dealt.select("id", "url", "body", "digest", "size", "refers_to", "own")
     done = dealt.mapInArrow(settle, f"id {kind}, url string, body string, digest string, size int, refers_to {kind}, own boolean, revisit boolean")
     name = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     block = F.when(F.col("revisit"), HTTP).otherwise(F.concat(F.lit(HTTP), F.col("body")))
