@@ -1 +1 @@
-
+"""Nothing here: records have no event time and no operator of the engine is incremental, so all plans are batch plans."""
