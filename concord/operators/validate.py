@@ -83,7 +83,7 @@ def _opened(spark: SparkSession, path: str, header: tuple[str, ...]) -> tuple[Da
         return None, _one(spark, name, "file_missing", "error", path)
     if not spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty():
         return None, _one(spark, name, "not_utf8", "fatal", path)
-    lines = read_lines(spark, path).persist()
+    lines = read_lines(spark, path)
     first = lines.where("line_number = 1").first()
     if first is None:
         return None, _one(spark, name, "file_empty", "error", path)
