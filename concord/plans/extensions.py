@@ -1,9 +1,283 @@
-"""Queries over what goes beyond the exact baseline."""
+"""Queries over what goes beyond the exact baseline: retrieval, fusion, features, matchers and decisions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import blocking, features, matching, ordering, retrieval
+from ..operators.durable import durable
+from . import fixtures as X
+
+MAX_DF = 0.02
+K = 10
+
+
+def _norm(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    v = X.views(spark, sf_dir, X.CUSTOMERS)
+    return blocking.normalize(v["src1"]), blocking.normalize(v["src2"].unionByName(v["src3"])), v["truth_links"]
+
+
+def _posted(first: DataFrame, others: DataFrame, terms) -> tuple[DataFrame, DataFrame, int]:
+    return retrieval.postings(first, terms), retrieval.postings(others, terms), others.count()
+
+
+def _name(first: DataFrame, others: DataFrame) -> DataFrame:
+    return retrieval.tfidf(*_posted(first, others, retrieval.char_grams(F.col("name_norm"), 4, 4)), MAX_DF)
+
+
+def _address(first: DataFrame, others: DataFrame) -> DataFrame:
+    return retrieval.tfidf(*_posted(first, others, retrieval.char_grams(F.col("address_norm"), 5, 5)), MAX_DF)
+
+
+def _bm25(first: DataFrame, others: DataFrame) -> DataFrame:
+    return retrieval.bm25(*_posted(first, others, retrieval.words(F.concat_ws(" ", "name_norm", "address_norm"))), MAX_DF)
+
+
+def _rare(first: DataFrame, others: DataFrame) -> DataFrame:
+    return retrieval.rare_terms(*_posted(first, others, retrieval.words(F.col("name_norm"))), MAX_DF)
+
+
+def _numeric(first: DataFrame, others: DataFrame) -> DataFrame:
+    return retrieval.rare_terms(*_posted(first, others, T.numbers(F.col("address_norm"))), MAX_DF)
+
+
+RETRIEVERS = {"name": _name, "address": _address, "words": _bm25, "rare": _rare, "number": _numeric}
+
+
+def _top(name: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        first, others, _ = _norm(spark, sf_dir)
+        return retrieval.top_k(RETRIEVERS[name](first, others), K).select("sid", "tid", "score", F.col("rank").cast("long").alias("rank"))
+
+    return query
+
+
+def _found(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], DataFrame, DataFrame, DataFrame]:
+    first, others, links = _norm(spark, sf_dir)
+    return {n: durable(retrieval.top_k(f(first, others), K)) for n, f in RETRIEVERS.items()}, first, others, links
+
+
+def er_adaptive_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, others, _ = _norm(spark, sf_dir)
+    return retrieval.adaptive(_bm25(first, others), 1, 5, 0.8).select("sid", "tid", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def er_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, *_ = _found(spark, sf_dir)
+    return retrieval.fuse(found).select("sid", "tid", "support", F.col("best_rank").cast("long").alias("best_rank"), F.col("rank_spread").cast("long").alias("rank_spread"), F.round("rrf", 9).alias("rrf"))
+
+
+def er_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _, _, links = _found(spark, sf_dir)
+    each = [retrieval.recall_at(df, links, (1, 3, 5, 10)).select(F.lit(n).alias("retriever"), *[F.round(f"recall_at_{k}", 9).alias(f"recall_at_{k}") for k in (1, 3, 5, 10)]) for n, df in found.items()]
+    out = each[0]
+    for df in each[1:]:
+        out = out.unionByName(df)
+    return out
+
+
+def er_blocking_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _, _, links = _found(spark, sf_dir)
+    return retrieval.blocking_report(found, links)
+
+
+def _featured(spark: SparkSession, sf_dir: str, with_udfs: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    found, first, others, links = _found(spark, sf_dir)
+    fused = retrieval.fuse(found).select("sid", "tid", "support", "best_rank", "rrf")
+    n = others.count()
+    idf = retrieval.frequencies(retrieval.postings(others, retrieval.words(F.col("name_norm")))).select("term", F.log(F.lit(float(n)) / F.col("df")).alias("idf"))
+    f = features.pair_features(features.with_fields(fused.select("sid", "tid"), first, others), idf, with_udfs=with_udfs)
+    return f.join(fused, ["sid", "tid"]), first, links
+
+
+def er_pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, _, _ = _featured(spark, sf_dir)
+    chosen = ["name_exact", "name_edit", "name_jaccard", "name_dice", "name_containment", "name_length_ratio", "address_edit", "address_jaccard", "number_jaccard", "number_equal", "country_same", "country_different", "country_missing_one", "address_missing2"]
+    return f.select("sid", "tid", *[F.round(c, 9).alias(c) for c in chosen])
+
+
+def er_string_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, _, _ = _featured(spark, sf_dir, with_udfs=True)
+    return f.select("sid", "tid", F.round("name_jaro_winkler", 9).alias("name_jaro_winkler"), F.col("name_damerau").cast("long").alias("name_damerau"))
+
+
+def er_common_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, _, _ = _featured(spark, sf_dir, with_udfs=True)
+    return f.select("sid", "tid", "name_common", "address_common")
+
+
+FEATURES = ["name_edit", "name_jaccard", "name_gram_cosine", "name_token_sort", "name_core_exact", "address_edit", "address_jaccard", "address_standard_exact", "number_equal", "number_jaccard", "country_different", "idf_clipped_sum", "idf_jaccard", "address_missing2", "support", "rrf", "number_conflict_strong_name"]
+
+
+def _scored(spark: SparkSession, sf_dir: str, kind: str = "logistic") -> tuple[DataFrame, DataFrame, DataFrame]:
+    f, first, links = _featured(spark, sf_dir)
+    pairs = matching.labelled(f, links)
+    return durable(matching.out_of_fold(pairs, ordering.folds(first), FEATURES, kind=kind)), first, links
+
+
+def er_matcher_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored, _, _ = _scored(spark, sf_dir)
+    return scored.select("sid", "tid", "fold", "label", F.round("prob", 6).alias("prob"))
+
+
+def er_matcher_gbt_country_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each country's pairs scored by boosted trees of all other countries."""
+    f, first, links = _featured(spark, sf_dir)
+    country = first.select(F.col("entity_id").alias("sid"), F.col("country_norm").alias("country"))
+    values = [r["country"] for r in country.select("country").distinct().orderBy("country").collect()]
+    scored = matching.leave_one_out(matching.labelled(f, links).join(country, "sid"), "country", values, FEATURES, kind="gbt")
+    return scored.groupBy("country").agg(F.count("*").alias("pairs"), F.round(F.avg((F.col("prob") >= 0.5).cast("double") * F.col("label")), 6).alias("true_positive_share"), F.round(F.avg(F.pow(F.col("prob") - F.col("label"), 2)), 6).alias("brier"))
+
+
+def er_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brier scores of the raw, Platt and isotonic probabilities."""
+    scored, _, _ = _scored(spark, sf_dir)
+    both = matching.isotonic(matching.platt(scored))
+    return both.select(F.explode(F.array(*[F.struct(F.lit(c).alias("calibration"), F.pow(F.col(c) - F.col("label"), 2).alias("e")) for c in ("prob", "platt", "isotonic")])).alias("x")).groupBy("x.calibration").agg(F.round(F.avg("x.e"), 6).alias("brier"))
+
+
+def er_threshold_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored, first, links = _scored(spark, sf_dir)
+    curve = matching.threshold_curve(scored, first, links, [0.1, 0.3, 0.5, 0.7, 0.9])
+    return curve.select("threshold", F.round("macro_f05", 6).alias("macro_f05"), "pred_links", "tp")
+
+
+def er_entity_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored, _, _ = _scored(spark, sf_dir)
+    return matching.entity_signals(scored)
+
+
+def er_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored, _, _ = _scored(spark, sf_dir)
+    decided = matching.resolve_conflicts(matching.decide(scored, 0.5, 0.5))
+    return decided.where("accepted").select("sid", "tid", F.round("prob", 6).alias("prob"))
+
+
+def er_error_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored, _, links = _scored(spark, sf_dir)
+    return matching.taxonomy(links, matching.resolve_conflicts(matching.decide(scored, 0.5, 0.5)), 0.5)
+
+
+def er_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored, _, _ = _scored(spark, sf_dir)
+    return matching.hard_negatives(scored).groupBy("bucket").agg(F.count("*").alias("pairs"))
+
+
+def er_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brier score by fold with all features, and without those of names, addresses or retrieval."""
+    f, first, links = _featured(spark, sf_dir)
+    pairs, folds, out = durable(matching.labelled(f, links)), ordering.folds(first), None
+    for config, drop in (("all", ()), ("no_name", ("name", "idf")), ("no_address", ("address", "number")), ("no_retrieval", ("support", "rrf"))):
+        used = [c for c in FEATURES if not c.startswith(drop or ("\0",))]
+        scored = matching.out_of_fold(pairs, folds, used)
+        by_fold = scored.groupBy("fold").agg(F.avg(F.pow(F.col("prob") - F.col("label"), 2)).alias("brier")).withColumn("config", F.lit(config))
+        out = by_fold if out is None else out.unionByName(by_fold)
+    return matching.spread(out, "brier").select("config", "runs", *[F.round(c, 6).alias(c) for c in ("mean", "stddev", "min", "max")])
+
+
+def er_dense_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosine retrieval over given vectors: ids divisible by 3 ask the others, cells by a bounded list of centres."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    centres = [r["vec"] for r in ordering.sample(vectors, ["id"], 8).collect()]
+    pairs = retrieval.dense(vectors.where("id % 3 = 0"), vectors.where("id % 3 <> 0"), centres, probes=8)
+    return retrieval.top_k(pairs, 5).select("sid", "tid", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def queries():
-    return {}
+    own = {n: f for n, f in globals().items() if n.startswith("er_") and callable(f)}
+    return {f"er_{n}_retrieval": _top(n) for n in RETRIEVERS} | own
+
+
+def _base() -> str:
+    norm = "trim(regexp_replace(replace(lower(coalesce({}, '')), '&', ' and '), '[^a-z0-9]+', ' ', 'g'))"
+    cols = ", ".join(f"{norm.format(c)} AS {n}" for c, n in (("business_name", "name_norm"), ("business_address", "address_norm"), ("country", "country_norm")))
+    return f"""WITH {X.ctes(X.CUSTOMERS)},
+n1 AS MATERIALIZED (SELECT entity_id AS id, {cols} FROM src1),
+n2 AS MATERIALIZED (SELECT entity_id AS id, {cols} FROM (SELECT * FROM src2 UNION ALL SELECT * FROM src3)),
+total AS (SELECT count(*)::DOUBLE AS n FROM n2)"""
+
+
+def _grams(col: str, n: int) -> str:
+    return f"list_transform(range(1, length({col}) - {n - 2}), lambda i: substr({col}, i, {n}))"
+
+
+def _words(col: str) -> str:
+    return f"list_filter(string_split({col}, ' '), lambda w: w <> '')"
+
+
+_TERMS = {
+    "name": _grams("name_norm", 4),
+    "address": _grams("address_norm", 5),
+    "words": _words("trim(name_norm || ' ' || address_norm)"),
+    "rare": _words("name_norm"),
+    "number": "regexp_extract_all(address_norm, '[0-9]+')",
+}
+
+
+def _retriever(name: str) -> str:
+    """CTEs p1, p2 (postings), df, and found (ranked, not cut)."""
+    t, s = _TERMS[name], name
+    head = f"""{s}1 AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({t}) AS term FROM n1) GROUP BY ALL),
+{s}2 AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({t}) AS term FROM n2) GROUP BY ALL),
+{s}df AS (SELECT term, count(*) AS df FROM {s}2 GROUP BY term)"""
+    if name in ("name", "address"):
+        weigh = lambda i: f"SELECT id, term, df, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM {s}{i} JOIN {s}df USING (term), total"
+        unit = lambda i: f"(SELECT id, term, df, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM ({weigh(i)}))"
+        score, left, right = "sum(a.w * b.w)", unit(1), unit(2)
+    elif name == "words":
+        left = f"(SELECT id, term FROM {s}1)"
+        right = f"""(SELECT id, term, df, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / (SELECT avg(size) FROM (SELECT sum(tf) AS size FROM {s}2 GROUP BY id)))) AS w
+            FROM {s}2 JOIN {s}df USING (term) JOIN (SELECT id, sum(tf) AS size FROM {s}2 GROUP BY id) USING (id), total)"""
+        score = "sum(b.w)"
+    else:
+        left, right, score = f"(SELECT id, term FROM {s}1)", f"(SELECT id, term, df, least(ln(n / df), 6.0) AS w FROM {s}2 JOIN {s}df USING (term), total)", "sum(b.w)"
+    return f"""{head},
+{s}found AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY score DESC, tid) AS rank FROM (
+    SELECT a.id AS sid, b.id AS tid, round({score}, 9) AS score FROM {left} a JOIN {right} b USING (term) WHERE b.df <= {MAX_DF} * (SELECT n FROM total) GROUP BY ALL)),
+{s}top AS (SELECT * FROM {s}found WHERE rank <= {K})"""
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    every = f"{_base()}, " + ", ".join(_retriever(n) for n in RETRIEVERS)
+    union = " UNION ALL ".join(f"SELECT sid, tid, rank, '{n}' AS src FROM {n}top" for n in RETRIEVERS)
+    sets = lambda k, a, b: {
+        f"{k}_jaccard": f"CASE WHEN len(list_distinct(list_concat({a}, {b}))) = 0 THEN 1.0 ELSE len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))) END",
+        f"{k}_dice": f"CASE WHEN len({a}) + len({b}) = 0 THEN 1.0 ELSE 2.0 * len(list_intersect({a}, {b})) / (len(list_distinct({a})) + len(list_distinct({b}))) END",
+        f"{k}_containment": f"CASE WHEN len({a}) + len({b}) = 0 THEN 1.0 ELSE coalesce(len(list_intersect({a}, {b})) / nullif(least(len(list_distinct({a})), len(list_distinct({b}))), 0), 0.0) END",
+    }
+    edit = lambda a, b: f"CASE WHEN {a} = '' AND {b} = '' THEN 1.0 ELSE 1.0 - levenshtein({a}, {b}) / greatest(length({a}), length({b})) END"
+    name, address = sets("name", _words("a.name_norm"), _words("b.name_norm")), sets("address", _words("a.address_norm"), _words("b.address_norm"))
+    number = sets("number", "regexp_extract_all(a.address_norm, '[0-9]+')", "regexp_extract_all(b.address_norm, '[0-9]+')")
+    parts = {
+        "name_exact": "CAST(a.name_norm = b.name_norm AS DOUBLE)",
+        "name_edit": edit("a.name_norm", "b.name_norm"),
+        **name,
+        "name_length_ratio": "least(length(a.name_norm), length(b.name_norm)) / greatest(length(a.name_norm), length(b.name_norm))",
+        "address_edit": edit("a.address_norm", "b.address_norm"),
+        "address_jaccard": address["address_jaccard"],
+        "number_jaccard": number["number_jaccard"],
+        "number_equal": "CAST(list_sort(list_distinct(regexp_extract_all(a.address_norm, '[0-9]+'))) = list_sort(list_distinct(regexp_extract_all(b.address_norm, '[0-9]+'))) AS DOUBLE)",
+        "country_same": "CAST(a.country_norm = b.country_norm AND a.country_norm <> '' AS DOUBLE)",
+        "country_different": "CAST(a.country_norm <> b.country_norm AND a.country_norm <> '' AND b.country_norm <> '' AS DOUBLE)",
+        "country_missing_one": "CAST((a.country_norm = '') <> (b.country_norm = '') AS DOUBLE)",
+        "address_missing2": "CAST(b.address_norm = '' AS DOUBLE)",
+    }
+    chosen = ", ".join(f"round(CAST({c} AS DOUBLE), 9) AS {k}" for k, c in parts.items())
+    joined = f"(SELECT DISTINCT sid, tid FROM ({union})) p JOIN n1 a ON a.id = sid JOIN n2 b ON b.id = tid"
+    recall = " UNION ALL ".join(f"SELECT '{n}' AS retriever, " + ", ".join(f"round(avg(CAST(coalesce(rank <= {k}, false) AS INT)), 9) AS recall_at_{k}" for k in (1, 3, 5, 10)) + f" FROM truth_links LEFT JOIN {n}top USING (sid, tid)" for n in RETRIEVERS)
+    return {
+        **{f"er_{n}_retrieval": f"{_base()}, {_retriever(n)} SELECT sid, tid, score, rank FROM {n}top" for n in RETRIEVERS},
+        "er_adaptive_budget": f"{_base()}, {_retriever('words')} SELECT sid, tid, score, rank FROM (SELECT *, max(score) OVER (PARTITION BY sid) AS best FROM wordsfound) WHERE rank <= 5 AND (rank <= 1 OR score >= 0.8 * best)",
+        "er_fusion": f"{every} SELECT sid, tid, count(*) AS support, min(rank) AS best_rank, max(rank) - min(rank) AS rank_spread, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf FROM ({union}) GROUP BY ALL",
+        "er_recall_at_k": f"{every} {recall}",
+        "er_blocking_report": f"""{every}, found AS ({union}), pairs AS (SELECT sid, tid, count(*) AS support FROM found GROUP BY ALL), m AS (SELECT count(*)::DOUBLE AS n FROM (SELECT DISTINCT sid, tid FROM truth_links)),
+            marked AS (SELECT src AS retriever, sid, tid FROM found UNION ALL SELECT 'union', sid, tid FROM pairs)
+            SELECT retriever, count(*) AS pairs, round(count(t.sid) / (SELECT n FROM m), 9) AS recall, round(count(t.sid) FILTER (WHERE support = 1) / (SELECT n FROM m), 9) AS own_recall
+            FROM marked JOIN pairs USING (sid, tid) LEFT JOIN (SELECT DISTINCT sid, tid FROM truth_links) t ON t.sid = marked.sid AND t.tid = marked.tid GROUP BY 1""",
+        "er_pair_features": f"{every} SELECT sid, tid, {chosen} FROM {joined}",
+        "er_string_similarity": f"{every} SELECT sid, tid, CASE WHEN a.name_norm = '' AND b.name_norm = '' THEN 1.0 ELSE round(jaro_winkler_similarity(a.name_norm, b.name_norm), 9) END AS name_jaro_winkler, damerau_levenshtein(a.name_norm, b.name_norm) AS name_damerau FROM {joined}",
+        "er_dense_retrieval": f"""WITH pairs AS (SELECT a.vec_id AS sid, b.vec_id AS tid, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 3 = 0 AND b.vec_id % 3 <> 0)
+            SELECT sid, tid, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY score DESC, tid) AS rank FROM pairs) WHERE rank <= 5""",
+    }
