@@ -26,8 +26,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one of the smallest id: five-word shingles."""
-    return simhash.dedup(docs, shingle=5)
+    """One document of each group of near-duplicates stays, the one of the smallest id: five-word shingles, similarity 0.8."""
+    return simhash.dedup(docs, shingle=5, similarity=0.8)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -87,3 +87,24 @@ def test_components_of_a_long_chain(spark):
     more = spark.createDataFrame([(10_000, 10_001), (10_001, 10_001), (None, 4)], "a long, b long")
     got = simhash.components(chain.union(more))
     assert got.count() == n + 3 and got.select("root").distinct().count() == 2
+
+
+def test_resembling_texts_are_found_and_others_left(spark):
+    rng = np.random.default_rng(11)
+    rows, want = [], {}
+    for g in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 400)]
+        for c in range(4):
+            copy = list(words)
+            for at in rng.integers(0, 400, 5):  # at most 25 of 396 shingles change: similarity 0.88 or more
+                copy[at] = f"x{rng.integers(0, 5000)}" if c else copy[at]
+            rows.append((4 * g + c, " ".join(copy)))
+            want[4 * g + c] = 4 * g
+        far = list(words)
+        for at in range(0, 400, 12):  # four in ten shingles change: similarity about 0.4
+            far[at] = f"y{rng.integers(0, 5000)}"
+        rows.append((1000 + g, " ".join(far)))
+        want[1000 + g] = 1000 + g
+    docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, node string")
+    got = {r["id"]: r["component_id"] for r in simhash.resembling(docs).collect()}
+    assert sum(got[d] == want[d] for d in want if d < 1000) >= 235 and all(got[d] == want[d] for d in want if d >= 1000)
