@@ -17,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_column
+from .common import binary_column, small_batches
 
-PIECE = 1 << 19  # bytes scored at a time
+PIECE = 1 << 17  # bytes scored at a time
 ORDER = 3
 
 
@@ -49,7 +49,7 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 key = (key[: len(data) - n + 1] << 8) | data[n - 1 :]
                 k, c = np.unique(key, return_counts=True)
                 totals.setdefault(lang, []).append((k | (n << 32), c))
-            if len(totals.get(lang, ())) > 2000:
+            if len(totals.get(lang, ())) > 400:
                 yield flush(lang)
     for lang in list(totals):
         yield flush(lang)
@@ -66,13 +66,14 @@ class Model:
     bits: np.ndarray
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 1500, max_langs: int = 64, max_cells: int = 12_000_000) -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 1500, max_langs: int = 64, max_cells: int = 6_000_000) -> Model:
     """Learns one tree per language from whole texts of labelled documents.
 
     Bounds, all parameters: about docs_per_lang documents of each language, chosen by a hash of the id (languages with
     fewer give all), the max_langs most frequent languages, and max_cells table cells for the most frequent contexts of
     two and three bytes (rarer ones are scored from their suffix). No labelled row: an empty model.
     """
+    small_batches(docs.sparkSession)
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
     if not sizes:
@@ -168,8 +169,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_out: st
     language by name. Whole texts are scored, in pieces of bounded size.
     """
     keep = [c for c in docs.columns if c not in (lang_out, score_out)]
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frozen = shared.value

@@ -19,11 +19,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, sized
+from .common import durable, sized, small_batches
 from .components import components
 
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
-BLOCK = 1 << 16  # shingles hashed at a time
+BLOCK = 1 << 14  # shingles hashed at a time
 LANE = 28  # bits of a key below its lane
 SMALL = 64  # buckets up to this size compare all pairs by shifts
 
@@ -63,6 +63,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], ["id", "fp"])
 
+    small_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("data"))
     return narrow.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, fp long")
 
@@ -217,6 +218,7 @@ def resembling(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             columns = np.array(found, np.uint64).reshape(len(found), lanes).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(columns[:, i])) for i in range(lanes)]], ["id", *names])
 
+    small_batches(docs.sparkSession)
     names = [f"f{i}" for i in range(lanes)]
     kind = docs.schema[id_col].dataType.simpleString()
     narrow = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("data"))

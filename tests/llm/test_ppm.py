@@ -44,12 +44,12 @@ def test_code_lengths_equal_the_tree_walk(spark):
                     seen[b[i]] = seen.get(b[i], 0) + 1
     texts = [b"", "der thé zzz".encode(), b"t", b"\xff\x00", b"das und that then" * 50]
     raw, offs = binary_column(pa.array(texts, pa.binary()))
-    for piece in (7, 1 << 19):
+    for piece in (7, 1 << 17):
         ppm.PIECE = piece
         got = ppm.code_lengths(model, raw, offs)
         want = [[brute(trees[x], t) for x in model.langs] for t in texts]
         np.testing.assert_allclose(got, want, rtol=1e-4)
-    ppm.PIECE = 1 << 19
+    ppm.PIECE = 1 << 17
 
 
 def test_edges(spark):
