@@ -25,6 +25,7 @@ from .components import components
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 BLOCK = 1 << 14  # shingles hashed at a time
 LANE = 28  # bits of a key below its lane
+DENSE = 6  # links of a small bucket from which they are thinned
 SMALL = 64  # buckets up to this size compare all pairs by shifts
 
 
@@ -83,6 +84,20 @@ def _small_links(key: np.ndarray, fp: np.ndarray, max_bits: int) -> list[np.ndar
     return found
 
 
+def _thinned(found: list[np.ndarray], max_bits: int) -> list[np.ndarray]:
+    """The same links, but a spanning forest in each bucket that has DENSE links or more."""
+    if not found:
+        return found
+    every = np.concatenate(found, axis=1)
+    every = every[:, np.argsort(every[0], kind="stable")]
+    keys, first, count = np.unique(every[0], return_index=True, return_counts=True)
+    dense = count >= DENSE
+    out = [every[:, np.repeat(~dense, count)]]
+    for k, s, n in zip(keys[dense].tolist(), first[dense].tolist(), count[dense].tolist(), strict=True):
+        out += [np.stack([np.full(e.shape[1], k, np.uint64), *e]) for e in forest(np.unique(every[1:, s : s + n]), max_bits)]
+    return out
+
+
 def forest(fp: np.ndarray, max_bits: int) -> list[np.ndarray]:
     """A spanning forest of the links among distinct fingerprints: each one reached is compared with the unvisited only."""
     found, rest = [], fp
@@ -115,7 +130,7 @@ def _links(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.Reco
                 found += [np.stack([np.full(e.shape[1], key[s], np.int64).view(np.uint64), *e]) for e in forest(np.unique(fp[s : s + n]), max_bits)]
             keep = np.repeat(~big, size)
             key, fp = key[keep], fp[keep]
-        found += _small_links(key, fp, max_bits)
+        found += _thinned(_small_links(key, fp, max_bits), max_bits)
         if found:
             lane, a, b = np.concatenate(found, axis=1).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(lane >> LANE), pa.array(a), pa.array(b)], ["lane", "a", "b"])
