@@ -6,6 +6,7 @@ Each distinct fingerprint is indexed under its 64 one-wildcard variants; rows of
 variant, are verified by popcount, and only a spanning forest of every bucket's links is kept. Nothing in a bucket is
 capped: small buckets compare all pairs with array shifts, large ones are explored breadth-first against what is still
 unvisited, which needs eight bytes a fingerprint and few comparisons when the bucket is one dense group of copies.
+Texts with several fingerprints (lanes) carry them all into the buckets, and are verified there over all of them.
 """
 
 from __future__ import annotations
@@ -69,100 +70,111 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return narrow.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, fp long")
 
 
-def _near(bits: np.ndarray, max_bits: int) -> np.ndarray:
-    return np.bitwise_count(bits) <= max_bits
+def _near(bits: np.ndarray, most: int) -> np.ndarray:
+    """Which words (or rows of words, added up) have at most so many bits."""
+    count = np.bitwise_count(bits)
+    return (count if count.ndim == 1 else count.sum(axis=1)) <= most
 
 
-def _small_links(key: np.ndarray, fp: np.ndarray, max_bits: int) -> list[np.ndarray]:
-    """(key, a, b) of the links of all pairs of equal key, by shifting the sorted rows against themselves."""
+def _small_links(key: np.ndarray, sig: np.ndarray, lane_bits: int, max_bits: int) -> list[np.ndarray]:
+    """Index pairs of the links of all pairs of equal key, by shifting the sorted rows against themselves."""
+    own = sig[np.arange(len(key)), key >> LANE]
     found, at, shift = [], np.arange(len(key)), 1
     while len(at := at[at + shift < len(key)]) and len(at := at[key[at] == key[at + shift]]):
-        hit = at[_near(fp[at] ^ fp[at + shift], max_bits)]
+        hit = at[_near(own[at] ^ own[at + shift], lane_bits)]
+        hit = hit[_near(sig[hit] ^ sig[hit + shift], max_bits)]
         if len(hit):
-            found.append(np.stack([key[hit].view(np.uint64), fp[hit], fp[hit + shift]]))
+            found.append(np.stack([hit, hit + shift]))
         shift += 1
     return found
 
 
-def _thinned(found: list[np.ndarray], max_bits: int) -> list[np.ndarray]:
+def _thinned(found: list[np.ndarray], key: np.ndarray, sig: np.ndarray, lane_bits: int, max_bits: int) -> list[np.ndarray]:
     """The same links, but a spanning forest in each bucket that has DENSE links or more."""
     if not found:
         return found
     every = np.concatenate(found, axis=1)
     every = every[:, np.argsort(every[0], kind="stable")]
-    keys, first, count = np.unique(every[0], return_index=True, return_counts=True)
+    keys, first, count = np.unique(key[every[0]], return_index=True, return_counts=True)
     dense = count >= DENSE
     out = [every[:, np.repeat(~dense, count)]]
     for k, s, n in zip(keys[dense].tolist(), first[dense].tolist(), count[dense].tolist(), strict=True):
-        out += [np.stack([np.full(e.shape[1], k, np.uint64), *e]) for e in forest(np.unique(every[1:, s : s + n]), max_bits)]
+        rows = np.unique(every[:, s : s + n])
+        out += [rows[e] for e in forest(sig[rows], k >> LANE, lane_bits, max_bits)]
     return out
 
 
-def forest(fp: np.ndarray, max_bits: int) -> list[np.ndarray]:
-    """A spanning forest of the links among distinct fingerprints: each one reached is compared with the unvisited only."""
-    found, rest = [], fp
+def forest(sig: np.ndarray, lane: int, lane_bits: int, max_bits: int) -> list[np.ndarray]:
+    """Index pairs of a spanning forest of the links among signatures: each one reached is compared with the unvisited only."""
+    own, found, rest = sig[:, lane], [], np.arange(len(sig))
     while len(rest) > 1:
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             x = queue.pop()
-            hit = _near(rest ^ x, max_bits)
-            if hit.any():
+            hit = np.flatnonzero(_near(own[rest] ^ own[x], lane_bits))
+            hit = hit[_near(sig[rest[hit]] ^ sig[x], max_bits)]
+            if len(hit):
                 new = rest[hit]
-                found.append(np.stack([np.full(len(new), x, np.uint64), new]))
+                found.append(np.stack([np.full(len(new), x), new]))
                 queue.extend(new)
-                rest = rest[~hit]
+                rest = np.delete(rest, hit)
     return found
 
 
-def _links(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key; the last key of a batch may go on in the next one."""
+def _links(batches: Iterator[pa.RecordBatch], lane_bits: int, max_bits: int, out: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by key; the last key of a block may go on in the next one."""
     held_key: list[np.ndarray] = []
-    held_fp: list[np.ndarray] = []
+    held_sig: list[np.ndarray] = []
 
-    def settle(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def settle(key: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
         edge = np.flatnonzero(np.diff(key)) + 1
         first = np.concatenate([[0], edge])
         size = np.diff(np.concatenate([first, [len(key)]]))
         found = []
         big = size > SMALL
-        if big.any():
-            for s, n in zip(first[big].tolist(), size[big].tolist(), strict=True):
-                found += [np.stack([np.full(e.shape[1], key[s], np.int64).view(np.uint64), *e]) for e in forest(np.unique(fp[s : s + n]), max_bits)]
-            keep = np.repeat(~big, size)
-            key, fp = key[keep], fp[keep]
-        found += _thinned(_small_links(key, fp, max_bits), max_bits)
+        for s, n in zip(first[big].tolist(), size[big].tolist(), strict=True):
+            found += [e + s for e in forest(sig[s : s + n], int(key[s]) >> LANE, lane_bits, max_bits)]
+        at = np.flatnonzero(np.repeat(~big, size))
+        small, own = key[at], sig[at]
+        found += [at[e] for e in _thinned(_small_links(small, own, lane_bits, max_bits), small, own, lane_bits, max_bits)]
         if found:
-            lane, a, b = np.concatenate(found, axis=1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(lane >> LANE), pa.array(a), pa.array(b)], ["lane", "a", "b"])
+            a, b = np.concatenate(found, axis=1)
+            columns = np.concatenate([sig[a], sig[b]], axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns.T], out)
 
     for batch in batches:
-        key = batch.column(0).to_numpy()
-        fp = batch.column(1).to_numpy().view(np.uint64)
-        if not len(key):
+        if not batch.num_rows:
             continue
-        held_key.append(key)
-        held_fp.append(fp)
-        if held_key[0][0] != key[-1]:
-            key, fp = np.concatenate(held_key), np.concatenate(held_fp)
+        held_key.append(batch.column(0).to_numpy())
+        held_sig.append(np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1).view(np.uint64))
+        if held_key[0][0] != held_key[-1][-1] and sum(map(len, held_key)) >= BLOCK:
+            key, sig = np.concatenate(held_key), np.concatenate(held_sig)
             cut = int(np.searchsorted(key, key[-1]))
-            held_key, held_fp = [key[cut:]], [fp[cut:]]
-            yield from settle(key[:cut], fp[:cut])
+            held_key, held_sig = [key[cut:]], [sig[cut:]]
+            yield from settle(key[:cut], sig[:cut])
     if held_key:
-        yield from settle(np.concatenate(held_key), np.concatenate(held_fp))
+        yield from settle(np.concatenate(held_key), np.concatenate(held_sig))
 
 
-def _bucketed(fps: DataFrame, max_bits: int) -> DataFrame:
-    """(lane, a, b): the kept links of distinct (lane, fp) rows that share a one-wildcard segment within a lane."""
+def signature_links(sigs: DataFrame, names: list[str], lane_bits: int, max_bits: int) -> DataFrame:
+    """(a<name>.., b<name>..): links that connect exactly what all links connect; no link of the set is lost by thinning.
+
+    sigs: distinct rows of non-null longs, one fingerprint in each column (lane). Two are linked if in some lane they share
+    a one-wildcard segment and differ in at most lane_bits, and in all lanes together in at most max_bits. Rows carry their
+    whole signature to the buckets, so a bucket's forest is one of verified links.
+    """
     variants, number = [], 0
     for offset, width in SEGMENTS:
         for bit in range(width):
             mask = ((1 << width) - 1) & ~(1 << bit)
-            part = F.shiftrightunsigned("fp", offset).bitwiseAND(F.lit(mask).cast("long"))
-            variants.append(part.bitwiseOR(F.lit(number << 22).cast("long")).bitwiseOR(F.shiftleft(F.col("lane").cast("long"), LANE)))
+            for lane, name in enumerate(names):
+                part = F.shiftrightunsigned(name, offset).bitwiseAND(F.lit(mask).cast("long"))
+                variants.append(part.bitwiseOR(F.lit((lane << LANE) | (number << 22)).cast("long")))
             number += 1
-    index = fps.select(F.explode(F.array(*variants)).alias("key"), "fp")
-    met = index.repartition("key").sortWithinPartitions("key")
-    return met.mapInArrow(lambda batches: _links(batches, max_bits), "lane long, a long, b long").distinct()
+    index = sigs.select(F.explode(F.array(*variants)).alias("key"), *names)
+    met = index.repartition("key").sortWithinPartitions("key", *names)  # one order in all buckets: their trees agree more
+    out = [f"{side}{n}" for side in "ab" for n in names]
+    return met.mapInArrow(lambda batches: _links(batches, lane_bits, max_bits, out), ", ".join(f"{c} long" for c in out)).distinct()
 
 
 def links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
@@ -172,7 +184,7 @@ def links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
     """
     if max_bits // len(SEGMENTS) > 1:
         raise ValueError("three segments guarantee a one-bit segment up to 5 differing bits")
-    return _bucketed(fps.select(F.lit(0).alias("lane"), "fp"), max_bits).select("a", "b")
+    return signature_links(fps, ["fp"], max_bits, max_bits).select(F.col("afp").alias("a"), F.col("bfp").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
@@ -239,15 +251,9 @@ def resembling(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     narrow = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("data"))
     marked = durable(narrow.mapInArrow(run, f"id {kind}, {', '.join(f'{n} long' for n in names)}"))
     nodes = durable(marked.groupBy(*names).agg(F.min("id").alias("node")))
-    long = nodes.select("node", F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("lane"), F.col(n).alias("fp")) for i, n in enumerate(names)])).alias("x")).select("node", "x.*")
-    reps = durable(long.groupBy("lane", "fp").agg(F.min("node").alias("rep")))
-    side = lambda c: reps.select("lane", F.col("fp").alias(c), F.col("rep").alias(f"r{c}"))
-    near = _bucketed(reps.select("lane", "fp"), lane_bits).join(side("a"), ["lane", "a"]).join(side("b"), ["lane", "b"]).select("ra", "rb")
-    same = long.join(reps, ["lane", "fp"]).where("rep <> node").select(F.col("rep").alias("ra"), F.col("node").alias("rb"))
-    pairs = near.unionByName(same).select(F.least("ra", "rb").alias("ra"), F.greatest("ra", "rb").alias("rb")).where("ra <> rb").distinct()
+    near = signature_links(nodes.select(*names), names, lane_bits, bits_at(similarity, 64 * lanes))
     of = lambda r, p: nodes.select(F.col("node").alias(r), *[F.col(n).alias(f"{p}{n}") for n in names])
-    apart = sum((F.bit_count(F.col(f"a{n}").bitwiseXOR(F.col(f"b{n}"))) for n in names), F.lit(0))
-    kept = pairs.join(of("ra", "a"), "ra").join(of("rb", "b"), "rb").where(apart <= bits_at(similarity, 64 * lanes)).select("ra", "rb")
+    kept = near.join(of("ra", "a"), [f"a{n}" for n in names]).join(of("rb", "b"), [f"b{n}" for n in names]).select("ra", "rb")
     found = components(kept, "ra", "rb")
     least = found.groupBy("root").agg(F.min("node").alias("component_id"))
     classes = durable(found.join(least, "root").select("node", "component_id"))

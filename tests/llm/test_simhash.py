@@ -108,3 +108,45 @@ def test_resembling_texts_are_found_and_others_left(spark):
     docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, node string")
     got = {r["id"]: r["component_id"] for r in simhash.resembling(docs).collect()}
     assert sum(got[d] == want[d] for d in want if d < 1000) >= 235 and all(got[d] == want[d] for d in want if d >= 1000)
+
+
+def test_thinned_buckets_lose_no_verified_link(spark):
+    rng = np.random.default_rng(3)
+    names, lanes, lane_bits, max_bits = ["f0", "f1", "f2", "f3"], 4, 13, 42
+
+    def flipped(x, n):
+        for bit in rng.choice(64, n, replace=False):
+            x ^= 1 << int(bit)
+        return x
+
+    sigs = set()
+    for size in (3, 8, 30, 150):  # the first lane is nearly the same in a group, the others tell pairs of it from the rest
+        base = int(rng.integers(0, 2**63))
+        for _ in range(size):
+            rest = [int(x) for x in rng.integers(0, 2**63, 3)]
+            for _ in range(2):
+                sigs.add((flipped(base, 2), *[flipped(x, 5) for x in rest]))
+    sigs = sorted(sigs)
+
+    def linked(a, b):
+        apart = [x ^ y for x, y in zip(a, b, strict=True)]
+        near = [x.bit_count() <= lane_bits and any((x >> o & ((1 << w) - 1)).bit_count() <= 1 for o, w in simhash.SEGMENTS) for x in apart]
+        return any(near) and sum(x.bit_count() for x in apart) <= max_bits
+
+    want = {s: {s} for s in sigs}
+    for i, a in enumerate(sigs):
+        for b in sigs[i + 1 :]:
+            if linked(a, b) and want[a] is not want[b]:
+                want[a] |= want[b]
+                for s in want[a]:
+                    want[s] = want[a]
+    table = spark.createDataFrame([tuple(int(np.uint64(x).view(np.int64)) for x in s) for s in sigs], "f0 long, f1 long, f2 long, f3 long")
+    got = {s: {s} for s in sigs}
+    for r in simhash.signature_links(table, names, lane_bits, max_bits).collect():
+        ends = [int(x) % 2**64 for x in r]
+        a, b = tuple(ends[:lanes]), tuple(ends[lanes:])
+        assert linked(a, b)
+        got[a] |= got[b]
+        for s in got[a]:
+            got[s] = got[a]
+    assert sum(len(x) > 1 for x in want.values()) > 300 and got == want
