@@ -46,7 +46,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def binary_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of a binary Arrow column without copying; nulls have no bytes."""
+    """Bytes and offsets of a binary or string Arrow column without copying; nulls have no bytes."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     wide = pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type)
@@ -60,7 +60,7 @@ def binary_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         valid = np.asarray(column.is_valid())
         lengths = np.diff(offs)
         if lengths[~valid].any():  # a writer may leave bytes under a null
-            return binary_column(pa.array([v or b"" for v in column.to_pylist()], pa.binary()))
+            return binary_column(pa.array([v.as_buffer().to_pybytes() if v.is_valid else b"" for v in column], pa.binary()))
     return raw, offs
 
 

@@ -162,13 +162,16 @@ def code_lengths(model: Model, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return out
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
+def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score", columns: list[str] | None = None) -> DataFrame:
     """The input rows with lang_out and score_out (0 to 1: the posterior of the best language with equal priors).
 
+    columns: those of the input that the result has (all); a text that isn't among them doesn't come back from Python.
+
     Texts that are null or have no letter, and all texts under an empty model, give 'und' and 0. Ties go to the first
     language by name. Whole texts are scored, in pieces of bounded size.
     """
-    keep = [c for c in docs.columns if c not in (lang_out, score_out)]
+    keep = [c for c in (docs.columns if columns is None else columns) if c not in (lang_out, score_out)]
+    text = keep.index(text_col) + 1 if text_col in keep else len(keep) + 1  # where its column is sent, once
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -176,19 +179,19 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_out: st
         frozen = shared.value
         names = np.array([*frozen.langs, "und"], object)
         for batch in batches:
-            known = np.asarray(batch.column(1).fill_null(False).to_numpy(zero_copy_only=False), bool)
+            known = np.asarray(batch.column(0).fill_null(False).to_numpy(zero_copy_only=False), bool)
             best, score = np.full(batch.num_rows, len(frozen.langs)), np.zeros(batch.num_rows)
             if frozen.langs and known.any():
-                bits = code_lengths(frozen, *binary_column(batch.column(0)))
+                bits = code_lengths(frozen, *binary_column(batch.column(text)))
                 least = bits.min(axis=1)
                 weight = 1 / np.exp2(-np.clip(bits - least[:, None], 0, 1000)).sum(axis=1)
                 best = np.where(known, bits.argmin(axis=1), best)
                 score = np.where(known, weight, 0)
-            rest = batch.columns[2:]
+            rest = batch.columns[1 : len(keep) + 1]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(names[best], pa.string()), pa.array(score)], [*keep, lang_out, score_out])
 
-    text = F.col(f"`{text_col}`")
-    data = docs.select(text.cast("binary").alias("__data"), text.rlike(r"\p{L}").alias("__letter"), *[F.col(f"`{c}`") for c in keep])
+    sent = [F.col(f"`{c}`") for c in keep] + [F.col(f"`{text_col}`")] * (text_col not in keep)
+    data = docs.select(F.col(f"`{text_col}`").rlike(r"\p{L}").alias("__letter"), *sent)
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return data.mapInArrow(run, f"{schema}{', ' * bool(keep)}`{lang_out}` string, `{score_out}` double")
 

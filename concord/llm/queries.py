@@ -35,7 +35,7 @@ def op5_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learn = ppm.trainable("doc_id")
     model = ppm.fit(docs.where(learn))
-    told = ppm.identify(docs.select("doc_id", "text"), model)
+    told = ppm.identify(docs, model, columns=["doc_id"])
     return told.select("doc_id", (~learn).alias("held_out"), "lang_pred", "score")
 
 

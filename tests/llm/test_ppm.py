@@ -59,6 +59,9 @@ def test_edges(spark):
     by = {r["doc_id"]: r for r in got}
     assert by[3]["lang_pred"] == by[4]["lang_pred"] == by[5]["lang_pred"] == "und" and by[3]["score"] == 0
     assert by[6]["lang_pred"] == "de" and all(0 <= r["score"] <= 1 for r in got)
+    bare = ppm.identify(docs, ppm.fit(docs), columns=["doc_id"])
+    assert bare.columns == ["doc_id", "lang_pred", "score"]
+    assert sorted(map(str, bare.collect())) == sorted(str(r) for r in ppm.identify(docs, ppm.fit(docs)).select("doc_id", "lang_pred", "score").collect())
     empty = docs.limit(0)
     assert ppm.identify(empty, ppm.fit(empty)).count() == 0
     assert {r["lang_pred"] for r in ppm.identify(docs, ppm.fit(empty)).collect()} == {"und"}
