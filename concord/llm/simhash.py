@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import minhash
 from .common import durable, sized, small_batches
 from .components import components
 
@@ -230,35 +231,23 @@ def bits_at(similarity: float, bits: int) -> int:
     return round(bits * p + math.sqrt(bits * p * (1 - p)) / 2)
 
 
-def resembling(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, lanes: int = 4, lane_bits: int = 13) -> DataFrame:
-    """(id, component_id), one row per input row of non-null id: groups of texts of the given shingle similarity or more.
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """(id, key, component_id), one row per input row of non-null id; key is minhash.row_key of its text."""
+    marked = durable(minhash.nodes_of(docs, id_col, text_col, shingle))
+    nodes = durable(marked.groupBy("node").agg(F.min(F.struct("id", "key")).alias("own"), F.first("bands").alias("bands")).select("node", "own.*", "bands"))
+    found = durable(components(minhash.links(docs, id_col, text_col, shingle, similarity, nodes)))
+    rooted = nodes.select("node", "id").join(sized(found), "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
+    return marked.select("id", "key", "node").join(rooted.select("node", "root"), "node").join(least, "root").select("id", "key", "component_id")
 
-    One 64-bit fingerprint tells copies apart only where they are all but equal (at Jaccard 0.8 about ten bits differ), so
-    the text gets several. In each lane the one-wildcard segment variants find fingerprints of up to lane_bits differing
-    bits; texts so found are linked if all lanes together differ in no more bits than the similarity stands for. Most pairs
-    at 0.8 and nearly all from 0.85 meet in some segment of some lane (the figures are in the README).
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [signature(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle, lanes) for x in batch.column(1)]
-            columns = np.array(found, np.uint64).reshape(len(found), lanes).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(columns[:, i])) for i in range(lanes)]], ["id", *names])
+def resembling(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, component_id), one row per input row of non-null id: groups linked by pairs of the given shingle Jaccard or more.
 
-    small_batches(docs.sparkSession)
-    names = [f"f{i}" for i in range(lanes)]
-    kind = docs.schema[id_col].dataType.simpleString()
-    narrow = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("data"))
-    marked = durable(narrow.mapInArrow(run, f"id {kind}, {', '.join(f'{n} long' for n in names)}"))
-    nodes = durable(marked.groupBy(*names).agg(F.min("id").alias("node")))
-    near = signature_links(nodes.select(*names), names, lane_bits, bits_at(similarity, 64 * lanes))
-    of = lambda r, p: nodes.select(F.col("node").alias(r), *[F.col(n).alias(f"{p}{n}") for n in names])
-    kept = near.join(of("ra", "a"), [f"a{n}" for n in names]).join(of("rb", "b"), [f"b{n}" for n in names]).select("ra", "rb")
-    found = components(kept, "ra", "rb")
-    least = found.groupBy("root").agg(F.min("node").alias("component_id"))
-    classes = durable(found.join(least, "root").select("node", "component_id"))
-    every = marked.join(nodes, names).select("id", "node")
-    return every.join(sized(classes), "node", "left").select("id", F.coalesce("component_id", "node").alias("component_id"))
+    Jaccard is that of the sets of distinct word shingles. Candidates come from MinHash bands, and every link is verified
+    over both sets (see minhash). Texts without a word resemble each other.
+    """
+    return _grouped(docs, id_col, text_col, shingle, similarity).select("id", "component_id")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -267,6 +256,6 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     Texts without a word resemble each other. Rows of null id are kept, for they can't be told apart; of repeated rows of
     the id that stays, the repetitions stay too.
     """
-    grouped = resembling(docs, id_col, text_col, shingle, similarity)
+    grouped = _grouped(docs, id_col, text_col, shingle, similarity)
     gone = grouped.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("__gone")).distinct()
     return docs.join(sized(gone), docs[id_col] == F.col("__gone"), "left_anti")
