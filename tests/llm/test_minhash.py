@@ -75,3 +75,16 @@ def test_a_large_group_of_drifting_copies(spark):
         rows.append((d, " ".join(words)))
     want = plain_groups(rows)
     assert 20 < len(set(want.values())) < 290 and told(spark, rows) == want
+
+
+def test_texts_below_the_threshold_and_with_repeated_lines_are_left(spark):
+    rng, rows = np.random.default_rng(13), []
+    for g in range(150):
+        line = " ".join(f"l{x}" for x in rng.integers(0, 10**9, 14))
+        if g % 3:
+            texts = pair(rng, 90 + g, 0.79 - 0.05 * (g % 3))
+        else:
+            texts = ["\n".join([" ".join(f"o{x}" for x in rng.integers(0, 10**9, 100)), *[line] * 15]) for _ in range(2)]
+        rows += [(2 * g + c, t) for c, t in enumerate(texts)]
+    got = told(spark, rows)
+    assert got == plain_groups(rows) == {d: d for d, _ in rows}
