@@ -1,8 +1,8 @@
 """Information-theoretic sanitisation of personal data, in DataFrame expressions only.
 
-Base spans come from four patterns. Each distinct value found is a protected entity. Over all documents, the words within
-a window of a value are counted with it: with N documents, IC(e) = log2(N / n(e)) is what knowing the entity tells, and
-PMI(e, t) = log2(N n(e, t) / (n(e) n(t))) what the term t tells about it. A term with PMI >= IC / alpha, seen with the
+Base spans come from four patterns. Each distinct value found is a protected entity. Over all documents, the words of
+those that hold a value (or, with a window, the words near it) are counted with it: with N documents, IC(e) =
+log2(N / n(e)) is what knowing the entity tells, and PMI(e, t) = log2(N n(e, t) / (n(e) n(t))) what the term t tells about it. A term with PMI >= IC / alpha, seen with the
 entity in min_support documents or more, discloses it: in the documents that hold the entity its occurrences are spans of
 kind "term", which sanitize() removes, while the values themselves are generalised to the name of their kind.
 
@@ -112,42 +112,59 @@ def _entity(span: Column) -> Column:
     return F.concat_ws(":", span["k"], value)
 
 
-def _near(text: Column, span: Column) -> Column:
+def _near(text: Column, span: Column, window: int) -> Column:
     """Distinct words, lower-cased, within the window on either side of a span; words cut by the window are left out."""
-    before = F.substring(text, F.greatest(F.lit(1), span["s"] - WINDOW + 1), F.least(span["s"], F.lit(WINDOW)))
-    before = F.when(span["s"] > WINDOW, F.regexp_replace(before, r"^[\p{L}\p{N}]+", "")).otherwise(before)
-    after = F.substring(text, span["e"] + 1, F.lit(WINDOW))
-    after = F.when(F.length(after) == WINDOW, F.regexp_replace(after, r"[\p{L}\p{N}]+$", "")).otherwise(after)
+    before = F.substring(text, F.greatest(F.lit(1), span["s"] - window + 1), F.least(span["s"], F.lit(window)))
+    before = F.when(span["s"] > window, F.regexp_replace(before, r"^[\p{L}\p{N}]+", "")).otherwise(before)
+    after = F.substring(text, span["e"] + 1, F.lit(window))
+    after = F.when(F.length(after) == window, F.regexp_replace(after, r"[\p{L}\p{N}]+$", "")).otherwise(after)
     words = F.concat(F.regexp_extract_all(before, F.lit(WORD), F.lit(0)), F.regexp_extract_all(after, F.lit(WORD), F.lit(0)))
     return F.array_distinct(F.transform(words, F.lower))
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 1.25, min_support: int = 3) -> DataFrame:
+def _words(text: Column) -> Column:
+    """Distinct words of a text, lower-cased."""
+    return F.array_distinct(F.transform(F.split(text, r"[^\p{L}\p{N}]+"), F.lower))
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 1.25, min_support: int = 3, window: int | None = WINDOW) -> DataFrame:
     """(id, row_key, base, spans), one row per input row: base spans, and all spans with the disclosing terms.
 
     row_key is a hash of id and text; rows equal in both have equal results. Each row counts as a document. A term that
-    overlaps a base span is left to it. Null and empty texts have no spans. Extra columns are ignored.
+    overlaps a base span is left to it. window: the code points on either side of a value in which terms are sought; None: all
+    words of the document, those of the value included, so that n(e, t) and n(t) count the same words. Null and empty
+    texts have no spans. Extra columns are ignored.
     """
     narrow = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     narrow = narrow.withColumn("row_key", F.xxhash64("id", "text"))
     spans = base_spans(narrow)
-    context = F.transform("__spans", lambda x: F.struct(_entity(x).alias("entity"), _near(F.col("text"), x).alias("terms")))
+    nothing = F.array().cast("array<string>")
+    near = (lambda x: nothing) if window is None else (lambda x: _near(F.col("text"), x, window))
+    context = F.array_distinct(F.transform("__spans", lambda x: F.struct(_entity(x).alias("entity"), near(x).alias("terms"))))
+    held_words = F.when(F.size("__spans") > 0, F.array_remove(_words(F.col("text")), "")) if window is None else nothing
     # the row number is settled by the checkpoint
-    base = durable(spans.select("id", "row_key", F.monotonically_increasing_id().alias("row"), F.col("__spans").alias("base"), context.alias("context")))
+    base = durable(spans.select("id", "row_key", F.monotonically_increasing_id().alias("row"), F.col("__spans").alias("base"), context.alias("context"), held_words.alias("words")))
 
-    met = base.where(F.size("base") > 0).select("row", "row_key", F.explode("context").alias("c")).select("row", "row_key", "c.*")
+    met = base.where(F.size("base") > 0).select("row", "row_key", "words", F.explode("context").alias("c")).select("row", "row_key", "words", "c.*")
     held = met.groupBy("entity").agg(F.count_distinct("row").alias("n_e")).where(F.col("n_e") >= min_support)
-    pairs = met.join(held, "entity").select("entity", "n_e", "row", F.explode("terms").alias("term")).distinct()
+    if window is None:  # each row has an entity and a word once
+        pairs = met.join(sized(held), "entity").select("entity", "n_e", F.explode("words").alias("term"))
+    else:
+        pairs = met.join(held, "entity").select("entity", "n_e", "row", F.explode("terms").alias("term")).distinct()
     pairs = durable(pairs.groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= min_support))
     terms = sized(pairs.select("term").distinct())
-    words = narrow.select(F.explode(F.array_distinct(F.transform(F.split("text", r"[^\p{L}\p{N}]+"), F.lower))).alias("term"))
+    words = narrow.select(F.explode(_words(F.col("text"))).alias("term"))
     spread = words.join(terms, "term").groupBy("term").agg(F.count("*").alias("n_t"))
     total = float(max(1, base.count()))
     pmi = F.log2(F.lit(total) * F.col("n_et") / (F.col("n_e").cast("double") * F.col("n_t")))
     ic = F.log2(F.lit(total) / F.col("n_e"))
     disclosing = pairs.join(spread, "term").where((pmi >= ic / alpha) & (pmi > 0)).select("entity", "term")
 
-    marked = met.join(disclosing, "entity").groupBy("row_key").agg(F.collect_set("term").alias("terms"))
+    if window is None:
+        told = met.select("row_key", "entity", F.explode("words").alias("term")).join(sized(disclosing), ["entity", "term"])
+    else:
+        told = met.join(disclosing, "entity")
+    marked = told.groupBy("row_key").agg(F.collect_set("term").alias("terms"))
     marked = sized(marked)
     texts = narrow.join(marked, "row_key").dropDuplicates(["row_key"])
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.array_sort("terms"), "|"), F.lit(r")(?![\p{L}\p{N}])"))
@@ -158,12 +175,12 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha:
     return joined.select("id", "row_key", "base", every.alias("spans"))
 
 
-def sanitize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 1.25, min_support: int = 3) -> DataFrame:
+def sanitize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 1.25, min_support: int = 3, window: int | None = WINDOW) -> DataFrame:
     """The input rows with every base span generalised to [EMAIL], [IP], [CARD] or [PHONE] and disclosing terms removed.
 
     Spans of different kinds that overlap become one, of the kind that starts first. Rows without spans stay as they are.
     """
-    found = find(docs, id_col, text_col, alpha, min_support).where(F.size("spans") > 0)
+    found = find(docs, id_col, text_col, alpha, min_support, window).where(F.size("spans") > 0)
     found = sized(found.select(F.col("row_key").alias("__key"), F.col("spans").alias("__spans")).dropDuplicates(["__key"]))
     span = "struct<s:int,k:int,e:int>"
 

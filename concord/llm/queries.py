@@ -14,7 +14,7 @@ BLOCK = [("com", "/en/"), ("example.net", "/de/8"), ("org", "/es/")]
 
 
 def op1_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+    return pii.digest(pii.find(table(spark, sf_dir, "documents"), window=None))
 
 
 def op2_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
