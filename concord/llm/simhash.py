@@ -253,9 +253,10 @@ def resembling(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The input rows less all but one of each group of resembling texts: the smallest id stays.
 
-    Texts without a word resemble each other. Rows of null id are kept, for they can't be told apart; of repeated rows of
+    Rows are removed by id and text, so of an id that is repeated with several texts each stands for itself. Texts without
+    a word resemble each other. Rows of null id are kept, for they can't be told apart; of repeated rows of
     the id that stays, the repetitions stay too.
     """
     grouped = _grouped(docs, id_col, text_col, shingle, similarity)
-    gone = grouped.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("__gone")).distinct()
-    return docs.join(sized(gone), docs[id_col] == F.col("__gone"), "left_anti")
+    gone = grouped.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("__gone"), F.col("key").alias("__key")).distinct()
+    return docs.join(sized(gone), (docs[id_col] == F.col("__gone")) & (minhash.row_key(docs[text_col]) == F.col("__key")), "left_anti")

@@ -88,3 +88,8 @@ def test_texts_below_the_threshold_and_with_repeated_lines_are_left(spark):
         rows += [(2 * g + c, t) for c, t in enumerate(texts)]
     got = told(spark, rows)
     assert got == plain_groups(rows) == {d: d for d, _ in rows}
+
+
+def test_a_repeated_id_loses_only_its_copied_text(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (5, "a b c d e f"), (5, "u v w x y z"), (7, "u v w x y z")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in simhash.dedup(docs).collect()) == [(1, "a b c d e f"), (5, "u v w x y z")]
