@@ -3,8 +3,9 @@
 For each language a context tree of orders 0 to 3 is counted once and then frozen. The probability of a byte comes from
 the longest context that the language's tree holds: if the byte was seen there, its count over (total + distinct), else
 the escape probability distinct over (total + distinct) times what the next shorter context gives (escape method C); below
-order 0 all 256 bytes are alike. The code length of a text is the sum of -log2 of these. All frozen values are laid out
-in one table of contexts by symbols, so a text costs two look-ups a byte for all languages together.
+order 0 all 256 bytes are alike. The code length of a text is the sum of -log2 of these. Frozen values are kept by the
+contexts and bytes that were seen, for some languages together, so that tables grow with the languages and not with their
+square, and a text costs about one search a byte for each group of languages.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_column, small_batches
+from .common import binary_column, durable, small_batches
 
 PIECE = 1 << 17  # bytes scored at a time
 ORDER = 3
+TOGETHER = 8  # languages whose values stand in one line
 
 
 def trainable(id_col: str = "doc_id") -> Column:
@@ -55,84 +57,110 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(lang)
 
 
+@dataclass
+class Block:
+    """Some languages' frozen bits: cells are the sorted row << 8 | byte that any of them has seen, bits one line a cell;
+    escape has the bits to leave a row, line local[row] (line 0: no language of the block has it)."""
+
+    langs: int
+    cells: np.ndarray
+    bits: np.ndarray
+    local: np.ndarray
+    escape: np.ndarray
+
+
 @dataclass
 class Model:
-    """Frozen statistics: code maps a byte to one of A symbols (0: never seen), ids[(c0 * A + c1) * A + c2] is the row of
-    the longest kept context after these three bytes, bits[row * A + s] has the bits of symbol s for each language."""
+    """Frozen statistics. A row is a context that some language has seen (row 0: the empty one); parent is the row of its
+    suffix, -1 of the empty one. code maps a byte to one of A symbols (0: never seen), ids[(c0 * A + c1) * A + c2] is the row
+    of the longest context that ends these three bytes. Everything but ids is as large as what was counted."""
 
     langs: list[str]
     code: np.ndarray
     ids: np.ndarray
-    bits: np.ndarray
+    parent: np.ndarray
+    blocks: list[Block]
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 1500, max_langs: int = 64, max_cells: int = 6_000_000) -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 1500) -> Model:
     """Learns one tree per language from whole texts of labelled documents.
 
-    Bounds, all parameters: about docs_per_lang documents of each language, chosen by a hash of the id (languages with
-    fewer give all), the max_langs most frequent languages, and max_cells table cells for the most frequent contexts of
-    two and three bytes (rarer ones are scored from their suffix). No labelled row: an empty model.
+    Bound, a parameter: about docs_per_lang documents of each language, chosen by a hash of the id (languages with fewer
+    give all). All languages and all contexts of these documents count. No labelled row: an empty model.
     """
     small_batches(docs.sparkSession)
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
-    if not sizes:
-        return Model([], np.zeros(256, np.int64), np.zeros(1, np.int32), np.zeros((1, 0), np.float32))
+    sizes = durable(labelled.groupBy("lang").count())  # one row a language
+    langs = [r["lang"] for r in sizes.orderBy("lang").collect()]
     share = F.pmod(F.xxhash64(F.col("id"), F.lit("ppm")), F.lit(1_000_000)) / 1e6
-    wanted = F.lit(False)
-    for r in sizes:
-        wanted = wanted | ((F.col("lang") == r["lang"]) & (share < min(1.0, docs_per_lang / r["count"])))
-    counted = labelled.where(wanted).select("lang", F.col("text").cast("binary").alias("data")).mapInArrow(_grams, "lang string, key long, n long")
+    wanted = labelled.join(F.broadcast(sizes), "lang").where(share < F.lit(float(docs_per_lang)) / F.col("count"))
+    counted = wanted.select("lang", F.col("text").cast("binary").alias("data")).mapInArrow(_grams, "lang string, key long, n long")
     table = counted.groupBy("lang", "key").agg(F.sum("n").alias("n")).toPandas()
-    return _freeze(sorted(r["lang"] for r in sizes), table["lang"].to_numpy(), table["key"].to_numpy(np.int64), table["n"].to_numpy(np.int64), max_cells)
+    return _freeze(langs, table["lang"].to_numpy(), table["key"].to_numpy(np.int64), table["n"].to_numpy(np.int64))
 
 
-def _freeze(langs: list[str], lang: np.ndarray, key: np.ndarray, n: np.ndarray, max_cells: int) -> Model:
+def _freeze(langs: list[str], lang: np.ndarray, key: np.ndarray, n: np.ndarray) -> Model:
     order, gram = key >> 32, key & 0xFFFFFFFF
     where = {x: i for i, x in enumerate(langs)}
-    who = np.array([where[x] for x in lang], np.int64) if len(lang) else np.zeros(0, np.int64)
+    who = np.fromiter((where[x] for x in lang), np.int64, len(lang))
     seen = np.unique(gram[order == 1])
     code = np.zeros(256, np.int64)
     code[seen] = np.arange(1, len(seen) + 1)
-    size, many = len(seen) + 1, len(langs)
-
-    def level(k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Language, context number, symbol and count of the n-grams that have k bytes of context."""
-        pick = order == k + 1
-        ctx = np.zeros(pick.sum(), np.int64)
-        for i in range(k, 0, -1):
-            ctx = ctx * size + code[(gram[pick] >> (8 * i)) & 255]
-        return who[pick], ctx, code[gram[pick] & 255], n[pick]
-
-    def extend(shorter: np.ndarray, w: np.ndarray, row: np.ndarray, sym: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """bits[row, symbol, language]: shorter where a language lacks the context, else blended with an escape."""
-        bits = shorter
-        total, kinds = np.zeros((len(bits), many)), np.zeros((len(bits), many))
-        np.add.at(total, (row, w), count)
-        np.add.at(kinds, (row, w), 1)
-        has = total > 0
-        with np.errstate(divide="ignore", invalid="ignore"):
-            escape = np.where(has, -np.log2(kinds / (total + kinds)), 0)
-        bits = (bits + escape[:, None, :]).astype(np.float32)
-        bits[row, sym, w] = -np.log2(count / (total[row, w] + kinds[row, w]))
-        return bits
-
-    w, ctx, sym, count = level(0)
-    bits = extend(np.full((1, size, many), 8.0), w, ctx, sym, count)
-    w, ctx, sym, count = level(1)
-    rows = [extend(np.tile(bits, (size, 1, 1)), w, ctx, sym, count)]  # row c is the one-byte context c
-    ids, room = np.arange(size, dtype=np.int32), max(0, max_cells // (size * many))
-    for k, most in ((2, room // 3), (3, room - room // 3)):
-        w, ctx, sym, count = level(k)
-        held, back = np.unique(ctx, return_inverse=True)
-        weight = np.bincount(back, count, minlength=len(held))
-        keep = np.sort(held[np.lexsort((held, -weight))[:most]])
-        suffix = np.concatenate(rows)[ids[keep % len(ids)]]
-        base, ids = sum(map(len, rows)), np.tile(ids, size)  # a context that isn't kept has the row of its suffix
-        ids[keep] = np.arange(base, base + len(keep))
-        pick = ids[ctx] >= base
-        rows.append(extend(suffix, w[pick], ids[ctx[pick]] - base, sym[pick], count[pick]))
-    return Model(langs, code, ids, np.concatenate(rows).reshape(-1, many))
+    size = len(seen) + 1
+
+    held, first = [np.zeros(1, np.int64)], [0]  # the contexts of each length, and the row of the first of them
+    parent, ids = [np.array([-1])], np.zeros(1, np.int32)
+    for k in range(1, ORDER + 1):
+        held.append(np.unique(gram[order == k + 1] >> 8))
+        first.append(first[-1] + len(held[-2]))
+        parent.append(first[k - 1] + np.searchsorted(held[k - 1], held[k] & ((1 << 8 * (k - 1)) - 1)))
+        place = np.zeros(len(held[k]), np.int64)
+        for i in range(k - 1, -1, -1):
+            place = place * size + code[(held[k] >> (8 * i)) & 255]
+        ids = np.tile(ids, size)  # a context that no language has stands for its suffix
+        ids[place] = np.arange(first[k], first[k] + len(held[k]))
+    up, blocks = np.concatenate(parent), []
+    for start in range(0, len(langs), TOGETHER):
+        many = min(TOGETHER, len(langs) - start)
+        mine = (who >= start) & (who < start + many)
+        cells, bits, local, escape = [], [], np.zeros(len(up), np.int32), [np.zeros((1, many))]
+        for k in range(ORDER + 1):
+            pick = mine & (order == k + 1)
+            w, count = who[pick] - start, n[pick]
+            row = first[k] + np.searchsorted(held[k], gram[pick] >> 8)
+            own, at = np.unique(row << 8 | gram[pick] & 255, return_inverse=True)
+            rows, line = np.unique(row, return_inverse=True)
+            total, kinds = np.zeros((len(rows), many)), np.zeros((len(rows), many))
+            np.add.at(total, (line, w), count)
+            np.add.at(kinds, (line, w), 1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                leave = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0)
+            local[rows] = sum(map(len, escape)) + np.arange(len(rows))
+            escape.append(leave)
+            shorter = bits[-1][np.searchsorted(cells[-1], up[own >> 8] << 8 | own & 255)] if k else np.full((len(own), many), 8.0)
+            found = shorter + leave[np.searchsorted(rows, own >> 8)]
+            found[at, w] = -np.log2(count / (total[line, w] + kinds[line, w]))
+            cells.append(own)
+            bits.append(found)
+        blocks.append(Block(many, np.concatenate(cells), np.concatenate(bits).astype(np.float32), local, np.concatenate(escape).astype(np.float32)))
+    return Model(langs, code, ids, up, blocks)
+
+
+def _bits(block: Block, parent: np.ndarray, row: np.ndarray, sym: np.ndarray) -> np.ndarray:
+    """Bits of each byte under each language of the block: down the contexts until one has the byte."""
+    out = np.zeros((len(row), block.langs), np.float32)
+    live = np.arange(len(row))
+    while len(live):
+        key = row[live] << 8 | sym[live]
+        at = np.minimum(np.searchsorted(block.cells, key), len(block.cells) - 1)
+        hit = block.cells[at] == key if len(block.cells) else np.zeros(len(live), bool)
+        out[live[hit]] += block.bits[at[hit]]
+        live = live[~hit]
+        out[live] += block.escape[block.local[row[live]]]
+        row[live] = parent[row[live]]
+        out[live[row[live] < 0]] += 8
+        live = live[row[live] >= 0]
+    return out
 
 
 def code_lengths(model: Model, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -153,12 +181,16 @@ def code_lengths(model: Model, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
             for late in range(ORDER - i):
                 at = begins + late - start
                 c[i][at[(at >= 0) & (at < stop - start)]] = 0
-        sym = sym[ORDER:]
-        bits = model.bits[model.ids[(c[0] * size + c[1]) * size + c[2]] * size + sym]
+        row = model.ids[(c[0] * size + c[1]) * size + c[2]].astype(np.int64)
         edges = np.clip(begins - start, 0, None)
         filled = np.diff(np.concatenate([edges, [stop - start]])) > 0
-        if filled.any():
-            out[np.arange(first, last)[filled]] += np.add.reduceat(bits, edges[filled], axis=0, dtype=np.float64)
+        if not filled.any():
+            continue
+        done = 0
+        for block in model.blocks:
+            bits = _bits(block, model.parent, row.copy(), raw[start:stop].astype(np.int64))
+            out[np.arange(first, last)[filled], done : done + block.langs] += np.add.reduceat(bits, edges[filled], axis=0, dtype=np.float64)
+            done += block.langs
     return out
 
 
