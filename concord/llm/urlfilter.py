@@ -152,12 +152,13 @@ def judge(pages: DataFrame, allow: Sequence[tuple[str, str]], block: Sequence[tu
             counts = b["h1"].str.len().fillna(0).to_numpy(int)
             h1, h2 = (np.concatenate([np.zeros(0, np.int64), *b[c]]).astype(np.int64) for c in ("h1", "h2"))
             said = np.where(allowed.holds(h1, h2), 1, np.where(blocked.holds(h1, h2), 2, 0))
-            yield pd.DataFrame({"id": b["id"], "host": b["host"], "path": b["path"], "keys": b["keys"], "said": np.split(said, np.cumsum(counts)[:-1]) if len(b) else []})
+            yield pd.DataFrame({"id": b["id"], "host": b["host"], "path": b["path"], "keys": b["keys"], "hosts": b["hosts"], "said": np.split(said, np.cumsum(counts)[:-1]) if len(b) else []})
 
     kind = pages.schema[id_col].dataType.simpleString()
-    asked = parts.select("id", "host", "path", F.transform("keys", lambda k: k["key"]).alias("keys"), F.transform("keys", lambda k: F.xxhash64(k["key"])).alias("h1"), F.transform("keys", lambda k: F.xxhash64(F.lit("second"), k["key"])).alias("h2"))
-    told = asked.mapInPandas(look, f"id {kind}, host string, path string, keys array<string>, said array<int>")
-    fits = F.filter(F.zip_with("keys", "said", lambda k, s: F.struct(F.length(k).alias("n"), F.instr(k, "/").alias("h"), k.alias("key"), s.alias("s"))), lambda x: x["s"] > 0)
+    asked = parts.select("id", "host", "path", F.transform("keys", lambda k: k["key"]).alias("keys"), F.transform("keys", lambda k: k["h"]).alias("hosts"), F.transform("keys", lambda k: F.xxhash64(k["key"])).alias("h1"), F.transform("keys", lambda k: F.xxhash64(F.lit("second"), k["key"])).alias("h2"))
+    told = asked.mapInPandas(look, f"id {kind}, host string, path string, keys array<string>, hosts array<int>, said array<int>")
+    at = lambda column, i: F.element_at(column, i + 1)
+    fits = F.filter(F.transform("keys", lambda k, i: F.struct(F.length(k).alias("n"), at("hosts", i).alias("h"), k.alias("key"), at("said", i).alias("s"))), lambda x: x["s"] > 0)
     best = F.try_element_at(F.array_sort(fits), F.lit(-1))
     told = told.withColumn("best", best)
     verdict = F.when(F.col("best.s") == 1, "allow").when(F.col("best.s") == 2, "block").otherwise(otherwise)

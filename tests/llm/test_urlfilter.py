@@ -30,6 +30,15 @@ def test_rules_against_loops(spark):
     assert {r["verdict"] for r in urlfilter.judge(pages, [], []).collect()} == {"allow"}
 
 
+def test_a_tie_goes_to_the_longer_host(spark):
+    urls = ["http://a.com/x", "http://a.com/y", "http://b.com/x", "http://q.a.com/xyz"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    allow, block = [("a.com", "")], [("com", "/x")]
+    got = {r["id"]: (r["rule"], r["verdict"]) for r in urlfilter.judge(pages, allow, block).collect()}
+    assert got == {i: plain(u, allow, block)[2:] for i, u in enumerate(urls)}
+    assert got[0] == ("a.com", "allow") and got[2] == ("com/x", "block")
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     universe = spark.range(40_000).selectExpr("cast(id as string) key")
     listed = spark.range(0, 40_000, 13).selectExpr("cast(id as string) key")
