@@ -19,10 +19,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, sized
+from .common import durable, sized, unused
 
 BUCKETS = 4096
-STEPS = 48
+STEPS = 12  # passes over the sources
+CUTS = 16  # parts of the interval that a pass tells apart: four bisections
 
 
 def tokens_of(text: Column) -> Column:
@@ -36,29 +37,35 @@ def _hash(id_: Column, epoch: Column, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), epoch.cast("int"), id_), 12)
 
 
-def exponent(sources: DataFrame, target_entropy: float | None, max_repeats: float | None) -> float:
-    """Bisects the exponent; each step is one aggregate over the sources (share > 0), however many they are.
+def exponent(sources: DataFrame, target_entropy: float | None, max_repeats: float | None, passes: float | None = None) -> float:
+    """Bisects the exponent; a pass is one aggregate over the sources (share > 0), however many they are, and halves the
+    interval four times.
 
     target_entropy: bits. Without one, the smallest exponent under which the most repeated source has at most max_repeats
-    times the repetitions of the least repeated one. Where even exponent 0 or 1 doesn't reach the target it is that one.
+    times the repetitions of the least repeated one, or, with passes (the budget over all tokens), at most max_repeats
+    repetitions. Where even exponent 0 or 1 doesn't reach the target it is that one.
     """
+    power, share = lambda x: F.pow("share", F.lit(x)), F.col("share")
 
-    def reached(x: float) -> bool:
-        power = F.pow("share", F.lit(x))
+    def reached(points: list[float]) -> list[bool]:
+        """Whether the weights at a point are even enough (entropy), or still too even (repetitions)."""
         if target_entropy is not None:
-            z, e = sources.agg(F.sum(power), F.sum(power * x * F.log2("share"))).first()
-            return z is None or math.log2(z) - e / z >= target_entropy
-        low, high = sources.agg(F.min(power / F.col("share")), F.max(power / F.col("share"))).first()
-        return low is None or high / low > max_repeats * (1 + 1e-12)
+            found = sources.agg(*[f for x in points for f in (F.sum(power(x)), F.sum(power(x) * x * F.log2("share")))]).first()
+            return [z is None or math.log2(z) - e / z >= target_entropy for z, e in zip(found[::2], found[1::2], strict=True)]
+        least = (lambda x: F.sum(power(x)) / passes) if passes is not None else (lambda x: F.min(power(x) / share))
+        found = sources.agg(*[f for x in points for f in (least(x), F.max(power(x) / share))]).first()
+        return [low is None or high > low * max_repeats * (1 + 1e-12) for low, high in zip(found[::2], found[1::2], strict=True)]
 
     low, high = 0.0, 1.0  # reached at low, not at high
-    if reached(1.0):
+    even, plain = reached([0.0, 1.0])
+    if plain:
         return 1.0
-    if not reached(0.0):
+    if not even:
         return 0.0
     for _ in range(STEPS):
-        mid = (low + high) / 2
-        low, high = (mid, high) if reached(mid) else (low, mid)
+        points = [low + (high - low) * i / CUTS for i in range(1, CUTS)]
+        edges = [low, *(x for x, yes in zip(points, reached(points), strict=True) if yes)]
+        low, high = edges[-1], [*points, high][len(edges) - 1]
     return low if target_entropy is not None else high
 
 
@@ -67,7 +74,10 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
     epochs = budget / tokens, whole its integral part, and a document is in the last block if its hash there is at most
     last (-1: none is). Null sources are a source of their own. Sources without a token have share and weight 0, and one
-    whole block, so that their documents are kept.
+    whole block, so that their documents are kept. An empty table gives no row.
+
+    budget: tokens of the mixture. With one and no target entropy, max_repeats bounds every source's epochs; a budget over
+    max_repeats times all tokens can't keep to it and is an error. With a target entropy the limit isn't looked at.
     """
     narrow = docs.select(F.col(f"`{source_col}`").alias("source"), F.col(f"`{id_col}`").alias("id"), tokens_of(F.col(f"`{text_col}`")).alias("n"))
     narrow = durable(narrow)
@@ -75,7 +85,10 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     total = sums.agg(F.sum("tokens")).first()[0] or 0
     sources = durable(sums.withColumn("share", F.when(F.lit(total) > 0, F.col("tokens") / F.lit(float(max(1, total)))).otherwise(0.0)))
     live = sources.where("share > 0")
-    x = exponent(live, target_entropy, max_repeats)
+    passes = budget / total if budget is not None and total else None
+    if passes is not None and target_entropy is None and passes > max_repeats * (1 + 1e-12):
+        raise ValueError(f"a budget of {budget:g} tokens needs more than {max_repeats:g} passes over {total} tokens")
+    x = exponent(live, target_entropy, max_repeats, passes)
     power = F.when(F.col("share") > 0, F.pow("share", F.lit(x))).otherwise(0.0)
     z = live.agg(F.sum(power)).first()[0] or 1.0
     weighted = sources.withColumn("weight", power / z)
@@ -110,11 +123,13 @@ def mix(docs: DataFrame, lines: DataFrame, id_col: str = "doc_id", source_col: s
     Rows of one id share their places; rows equal in all columns are repeated alike. Columns of the two names are replaced.
     """
     keep = [c for c in docs.columns if c not in (epoch_out, key_out)]
-    known = sized(lines.select(F.col("source").alias("__source"), F.col("whole").alias("__whole"), F.col("last").alias("__last"), F.col("epochs").alias("__epochs")))
-    joined = docs.select(*[F.col(f"`{c}`") for c in keep]).join(known, F.col(f"`{source_col}`").eqNullSafe(F.col("__source")))
+    mine = {c: unused(docs, f"__{c}") for c in ("source", "whole", "last", "epochs")}
+    source, whole, last, epochs = (F.col(c) for c in mine.values())
+    known = sized(lines.select(*[F.col(c).alias(name) for c, name in mine.items()]))
+    joined = docs.select(*[F.col(f"`{c}`") for c in keep]).join(known, F.col(f"`{source_col}`").eqNullSafe(source))
     id_ = F.col(f"`{id_col}`")
-    extra = (F.col("__last") >= 0) & (_hash(id_, F.col("__whole"), seed) <= F.col("__last"))
-    blocks = F.filter(F.sequence(F.lit(0), F.col("__whole")), lambda e: (e < F.col("__whole")) | extra)
+    extra = (last >= 0) & (_hash(id_, whole, seed) <= last)
+    blocks = F.filter(F.sequence(F.lit(0), whole), lambda e: (e < whole) | extra)
     rows = joined.withColumn(epoch_out, F.explode(blocks))
-    place = (F.col(epoch_out) + _hash(id_, F.col(epoch_out), seed) / F.lit(float(2**52))) / F.greatest(F.col("__epochs"), F.lit(1e-300))
+    place = (F.col(epoch_out) + _hash(id_, F.col(epoch_out), seed) / F.lit(float(2**52))) / F.greatest(epochs, F.lit(1e-300))
     return rows.withColumn(key_out, F.least(place, F.lit(1.0))).select(*[F.col(f"`{c}`") for c in keep], epoch_out, key_out)

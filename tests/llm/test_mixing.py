@@ -91,6 +91,17 @@ def test_target_entropy(spark):
     assert entropy == pytest.approx(4.315, abs=1e-6)
 
 
+def test_a_budget_keeps_the_repetition_limit(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    tokens = mixing.plan(docs).agg(F.sum("tokens")).first()[0]
+    for passes in (0.3, 1.0, 1.7):
+        lines = mixing.plan(docs, max_repeats=2.0, budget=passes * tokens).collect()
+        assert sum(r["budget"] for r in lines) == pytest.approx(passes * tokens)
+        assert max(r["epochs"] for r in lines) <= 2.0 * (1 + 1e-6)
+    with pytest.raises(ValueError):
+        mixing.plan(docs, max_repeats=2.0, budget=2.1 * tokens)
+
+
 def test_the_mixture_interleaves_sources(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     mixed = mixing.mix(docs.select("doc_id", "source"), mixing.plan(docs))
@@ -105,4 +116,6 @@ def test_edges(spark):
     assert all(copies[r[0], r[2]] >= 1 for r in rows)
     empty = docs.limit(0)
     assert mixing.mix(empty, mixing.plan(empty)).count() == 0
+    clash = docs.withColumnsRenamed({"mix_key": "__last"}).withColumn("__whole", F.lit(7))
+    assert Counter(tuple(r)[:5] for r in mixing.mix(clash, mixing.plan(clash)).collect()) == Counter({(*r, 7): copies[r[0], r[2]] * rows.count(r) // sum(x[0] == r[0] and x[2] == r[2] for x in rows) for r in rows})
     assert mixing.mix(docs, mixing.plan(docs)).columns == ["doc_id", "text", "source", "mix_epoch", "mix_key"]
