@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,10 +13,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where none is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share (spark.checkpoint.dir). In local mode a temporary one where none is set; elsewhere none
+    is an error, since no other machine would see it."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="concord-")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="concord-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -27,17 +31,51 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def sized(df: DataFrame, most: int = 8 << 20) -> DataFrame:
-    """Checkpoints a table and marks it for broadcast only if its rows were measured to have at most so many bytes."""
+FIXED = {"boolean": 1, "int": 4, "bigint": 8, "double": 8}
+
+
+def measured(df: DataFrame, most: int = 8 << 20) -> tuple[DataFrame, bool]:
+    """Checkpoints a table, and tells whether its rows were measured to have at most so many bytes.
+
+    Columns of a fixed width count by the row; only the others are looked into.
+    """
     df = durable(df)
-    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
-    return F.broadcast(df) if size <= most else df
+    loose = [c for c, kind in df.dtypes if kind not in FIXED]
+    width = sum(FIXED.get(kind, 0) for _, kind in df.dtypes)
+    size = [F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in loose]))))] if loose else []
+    rows, *more = df.agg(F.count("*"), *size).first()
+    return df, rows * width + sum(x or 0 for x in more) <= most
+
+
+def sized(df: DataFrame, most: int = 8 << 20) -> DataFrame:
+    """The checkpointed table, marked for broadcast only if it was measured to be small."""
+    df, small = measured(df, most)
+    return F.broadcast(df) if small else df
+
+
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Lowers the bytes of an Arrow batch (64 MB unless set), so that the texts of several Python workers fit one executor.
+
+    The setting stays, as frames that are run later need it too. It bounds memory only: no operator's result depends on it.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
+    if not held or int(held[1]) > size:
+        spark.conf.set(key, str(size))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Keeps the Arrow batches of whole texts small enough for several Python workers on one executor."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch folder that no frame reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
