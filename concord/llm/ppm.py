@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_column, durable, small_batches
+from .common import binary_column, durable, small_batches, unused
 
 PIECE = 1 << 17  # bytes scored at a time
 ORDER = 3
@@ -223,7 +223,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_out: st
             yield pa.RecordBatch.from_arrays([*rest, pa.array(names[best], pa.string()), pa.array(score)], [*keep, lang_out, score_out])
 
     sent = [F.col(f"`{c}`") for c in keep] + [F.col(f"`{text_col}`")] * (text_col not in keep)
-    data = docs.select(F.col(f"`{text_col}`").rlike(r"\p{L}").alias("__letter"), *sent)
+    data = docs.select(F.col(f"`{text_col}`").rlike(r"\p{L}").alias(unused(docs, "__letter")), *sent)
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return data.mapInArrow(run, f"{schema}{', ' * bool(keep)}`{lang_out}` string, `{score_out}` double")
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, unused
 
 MARK = "▁"
 PENALTY = 10.0
@@ -359,7 +359,7 @@ def encode(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", ids_out:
 
     text = F.col(f"`{text_col}`")
     schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    data = docs.select(F.length(text).cast("long").alias("__size"), text.alias("__text"), *[F.col(f"`{c}`") for c in keep])
+    data = docs.select(F.length(text).cast("long").alias(unused(docs, "__size")), text.alias(unused(docs, "__text")), *[F.col(f"`{c}`") for c in keep])
     return data.mapInArrow(run, f"{schema}`{ids_out}` array<int>, `{score_out}` double")
 
 
