@@ -6,12 +6,10 @@ Each distinct fingerprint is indexed under its 64 one-wildcard variants; rows of
 variant, are verified by popcount, and only a spanning forest of every bucket's links is kept. Nothing in a bucket is
 capped: small buckets compare all pairs with array shifts, large ones are explored breadth-first against what is still
 unvisited, which needs eight bytes a fingerprint and few comparisons when the bucket is one dense group of copies.
-Texts with several fingerprints (lanes) carry them all into the buckets, and are verified there over all of them.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import minhash
-from .common import durable, sized, small_batches
+from .common import durable, sized, small_batches, unused
 from .components import components
 
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
@@ -210,35 +208,16 @@ def hex_of(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")
 
 
-def signature(data: bytes, shingle: int, lanes: int) -> np.ndarray:
-    """lanes independent fingerprints of a text, each from its own mix of the shingles' hashes."""
-    total, out = np.zeros((lanes, 64), np.int64), np.zeros(lanes, np.uint64)
-    count = 0
-    for hashes in _hashes(data, shingle, 42):
-        count += len(hashes)
-        for lane in range(lanes):
-            x = hashes if not lane else (hashes ^ (hashes >> np.uint64(29))) * np.uint64((0x9E3779B97F4A7C15 * (2 * lane + 1)) % 2**64)
-            x = x ^ (x >> np.uint64(32)) if lane else x
-            total[lane] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    for lane in range(lanes if count else 0):
-        out[lane] = np.packbits(2 * total[lane] > count, bitorder="little").view(np.uint64)[0]
-    return out
-
-
-def bits_at(similarity: float, bits: int) -> int:
-    """Differing bits expected of texts of a Jaccard similarity, and half a standard deviation more."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * p + math.sqrt(bits * p * (1 - p)) / 2)
-
-
 def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
     """(id, key, component_id), one row per input row of non-null id; key is minhash.row_key of its text."""
     marked = durable(minhash.nodes_of(docs, id_col, text_col, shingle))
-    nodes = durable(marked.groupBy("node").agg(F.min(F.struct("id", "key")).alias("own"), F.first("bands").alias("bands")).select("node", "own.*", "bands"))
+    nodes = marked.groupBy("node").agg(F.min(F.struct("id", "key")).alias("own"), F.first("bands").alias("bands"))
+    nodes = durable(nodes.select("node", "own.*", "bands"))
     found = durable(components(minhash.links(docs, id_col, text_col, shingle, similarity, nodes)))
     rooted = nodes.select("node", "id").join(sized(found), "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    return marked.select("id", "key", "node").join(rooted.select("node", "root"), "node").join(least, "root").select("id", "key", "component_id")
+    classes = rooted.select("node", "root").join(least, "root")
+    return marked.select("id", "key", "node").join(classes, "node").select("id", "key", "component_id")
 
 
 def resembling(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -254,9 +233,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     """The input rows less all but one of each group of resembling texts: the smallest id stays.
 
     Rows are removed by id and text, so of an id that is repeated with several texts each stands for itself. Texts without
-    a word resemble each other. Rows of null id are kept, for they can't be told apart; of repeated rows of
-    the id that stays, the repetitions stay too.
+    a word, null ones among them, resemble each other. Rows of null id are kept, for they can't be told apart; of repeated
+    rows of the id that stays, the repetitions stay too. An empty table stays empty; columns of any name pass through.
     """
     grouped = _grouped(docs, id_col, text_col, shingle, similarity)
-    gone = grouped.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("__gone"), F.col("key").alias("__key")).distinct()
-    return docs.join(sized(gone), (docs[id_col] == F.col("__gone")) & (minhash.row_key(docs[text_col]) == F.col("__key")), "left_anti")
+    own, row_key = unused(docs, "__gone"), unused(docs, "__key")
+    gone = grouped.where(F.col("id") != F.col("component_id")).select(F.col("id").alias(own), F.col("key").alias(row_key)).distinct()
+    same = (F.col(f"`{id_col}`") == F.col(own)) & (minhash.row_key(F.col(f"`{text_col}`")) == F.col(row_key))
+    return docs.join(sized(gone), same, "left_anti")

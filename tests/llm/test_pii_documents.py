@@ -11,6 +11,11 @@ DATA = "/root/testdata/sf0.01"
 
 
 def plain_terms(rows, alpha=1.25, support=3):
+    """The spans of plain_documents() as text."""
+    return [(d, ",".join(f"{(*pii.KINDS, 'term')[k]}:{s}:{e}" for s, k, e, _ in spans)) for d, spans in plain_documents(rows, alpha, support)]
+
+
+def plain_documents(rows, alpha=1.25, support=3):
     """Base spans and those of disclosing terms, with terms counted over whole documents."""
     base, words = [plain_spans(t) for _, t in rows], [[(m.start(), 4, m.end(), m[0]) for m in re.finditer(r"[^\W_]+", t or "")] for _, t in rows]
     of = [{(k, v.lower() if k == 0 else v if k == 1 else re.sub("[^0-9]", "", v)) for _, k, _, v in b} for b in base]
@@ -31,7 +36,7 @@ def plain_terms(rows, alpha=1.25, support=3):
     for (d, _), b, held, w in zip(rows, base, of, words, strict=True):
         mine = set().union(*[terms[e] for e in held]) if held else set()
         more = [x for x in w if x[3].lower() in mine and not any(y[0] < x[2] and x[0] < y[2] for y in b)]
-        out.append((d, ",".join(f"{(*pii.KINDS, 'term')[k]}:{s}:{e}" for s, k, e, _ in sorted(b + more))))
+        out.append((d, sorted(b + more)))
     return out
 
 
