@@ -1,62 +1,5 @@
-"""The corpus pipeline: language ID, near-duplicates, personal data, mixture, pieces.
+"""The corpus pipeline of concord.llm.pipeline, under the name its callers expect."""
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next one's
-docs. All but the last return the columns of documents.
-"""
+from concord.llm.pipeline import MIN_SCORE, ORACLE_SQL, STAGES, VOCABULARY, language_id, mixture, near_duplicates, personal_data, pieces, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from concord.llm import mixing, pii, ppm, simhash, unigram
-from concord.llm.common import scratch
-
-VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-MIN_SCORE = 0.5
-
-
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what the model rejects: null texts, texts without a letter, and texts whose best language isn't likelier than
-    all others together. lang becomes the language told."""
-    model = ppm.fit(docs.where(ppm.trainable()))
-    told = ppm.identify(docs, model, lang_out="__lang", score_out="__score")
-    kept = told.where((F.col("__lang") != "und") & (F.col("__score") >= MIN_SCORE))
-    return kept.select(*[F.col("__lang").alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one of the smallest id: five-word shingles, similarity 0.8."""
-    return simhash.dedup(docs, shingle=5, similarity=0.8)
-
-
-def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Generalises personal data and removes terms that disclose it; n_chars follows the text."""
-    clean = pii.sanitize(docs, window=None)
-    return clean.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
-
-
-def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Temperature mixture with at most two passes over any source and one full pass over each: no document is lost."""
-    return mixing.mix(docs, mixing.plan(docs, max_repeats=2.0)).select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
-def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of each document, with the columns of documents but the text, which the ids decode to."""
-    return unigram.encode(docs, unigram.load(VOCABULARY)).drop("text")
-
-
-STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mixture", mixture), ("pieces", pieces)]
-
-#: Hashing, the byte model, the connected components and the Viterbi search can't be said in SQL; tests/llm/test_pipeline.py
-#: holds every stage against a plain version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        path = scratch(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["MIN_SCORE", "ORACLE_SQL", "STAGES", "VOCABULARY", "language_id", "mixture", "near_duplicates", "personal_data", "pieces", "run"]
