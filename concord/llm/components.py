@@ -16,31 +16,31 @@ from .common import durable
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 200) -> DataFrame:
     """(node, root) for each node that occurs in an edge; one root for each connected component.
 
-    Nulls at either end and loops are ignored. An empty edge table gives an empty result. Every round's edges and
-    pointers are checkpointed, nothing is collected but a count.
+    Nulls at either end and loops are ignored. An empty edge table gives an empty result. Every round's edges, pointers
+    and roots are checkpointed, nothing is collected.
     """
     spark = edges.sparkSession
     e = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a is not null and b is not null and a <> b").distinct()
     e = durable(e)
-    hops: list[DataFrame] = []
+    out = None
     for turn in range(max_rounds):
         if e.isEmpty():
             break
         rank = lambda c, t=turn: F.struct(F.xxhash64(c, F.lit(t)).alias("h"), c.alias("v"))
         ends = e.select("a", "b").union(e.select(F.col("b"), F.col("a")))
         hop = durable(ends.groupBy("a").agg(F.min(rank(F.col("b"))).alias("m")).select(F.col("a").alias("node"), F.least("m", rank(F.col("a")))["v"].alias("root")))
-        hops.append(hop)
+        if out is None:
+            out = hop
+        else:  # followed round by round, so that no plan grows with the rounds
+            step = hop.select(F.col("node").alias("root"), F.col("root").alias("next"))
+            out = durable(out.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")))
         left = hop.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         right = hop.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         moved = e.join(left, "a").join(right, "b").where("ra <> rb")
         e = durable(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
     else:
         raise RuntimeError("components did not settle")
-    if not hops:
+    if out is None:
         kind = edges.schema[a].dataType.simpleString()
         return spark.createDataFrame([], f"node {kind}, root {kind}")
-    out = hops[0]
-    for hop in hops[1:]:
-        step = hop.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        out = out.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
     return out

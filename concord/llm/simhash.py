@@ -213,7 +213,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
     marked = durable(minhash.nodes_of(docs, id_col, text_col, shingle))
     nodes = marked.groupBy("node").agg(F.min(F.struct("id", "key")).alias("own"), F.first("bands").alias("bands"))
     nodes = durable(nodes.select("node", "own.*", "bands"))
-    found = durable(components(minhash.links(docs, id_col, text_col, shingle, similarity, nodes)))
+    found = components(minhash.links(docs, id_col, text_col, shingle, similarity, nodes))
     rooted = nodes.select("node", "id").join(sized(found), "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
     classes = rooted.select("node", "root").join(least, "root")
