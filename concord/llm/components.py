@@ -2,7 +2,8 @@
 
 Each round every node points at the member of its closed neighbourhood with the smallest per-round hash; edges are
 rewritten to those targets and loops dropped. A constant share of nodes goes in every round whatever the shape of the
-graph (long chains included), so rounds grow with the logarithm of the largest component.
+graph (long chains included), so rounds grow with the logarithm of the largest component. The first rounds go by the nodes
+themselves, which settles the stars that most links are.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 from .common import durable
 
 
+PLAIN = 2  # rounds in which the smallest node is the smallest by itself: stars around it are done after one
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 200) -> DataFrame:
     """(node, root) for each node that occurs in an edge; one root for each connected component.
 
@@ -26,7 +30,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 2
     for turn in range(max_rounds):
         if e.isEmpty():
             break
-        rank = lambda c, t=turn: F.struct(F.xxhash64(c, F.lit(t)).alias("h"), c.alias("v"))
+        rank = lambda c, t=turn: F.struct((F.xxhash64(c, F.lit(t)) if t >= PLAIN else F.lit(0).cast("long")).alias("h"), c.alias("v"))
         ends = e.select("a", "b").union(e.select(F.col("b"), F.col("a")))
         hop = durable(ends.groupBy("a").agg(F.min(rank(F.col("b"))).alias("m")).select(F.col("a").alias("node"), F.least("m", rank(F.col("a")))["v"].alias("root")))
         if out is None:
