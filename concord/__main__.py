@@ -43,7 +43,12 @@ def main(argv: list[str] | None = None) -> int:
         found = tables.rows(validate.validate(spark, a.matching, a.candidate, a.test_dir, a.check_ids))
         for f in found:
             print(f"{f['severity'].upper()}: {f['file']}: {f['rule']}: {f['offenders']} {', '.join(f['examples'])}")
-        return int(any(f["severity"] != "warning" for f in found))
+        counts = validate.summary(spark, a.matching)
+        if counts:
+            print(", ".join(f"{n} {k.replace('_', '-')}" for k, n in counts.items()))
+        failed = any(f["severity"] != "warning" for f in found)
+        print("FAIL" if failed else "PASS")
+        return int(failed)
     else:
         result = {"audit": runs.audit, "baseline": runs.baseline, "sample": runs.positive_sample}[a.command](spark, a.root)
     print(json.dumps(result, indent=2, default=str))

@@ -1,9 +1,10 @@
 """Candidate retrieval by shared terms, adaptive budgets, and fusion. Extension of the exact blocker.
 
-A retriever turns a field into terms (character n-grams, words, numbers); records meet in an inverted-index join on the
-term. Terms with a document frequency over max_df (as a share of the secondary records) retrieve nothing: they are the
-retrievers' stop words, which also keeps the join's largest group bounded. Scores are rounded to nine digits so that ties
-are ties on every engine, and go to the smaller target id.
+A retriever turns a field into terms (character n-grams, words, numbers). Records are candidates if they share a term that
+isn't frequent (held by at most max_df of the secondary records, or FEW of them), which an inverted-index join finds, or if
+they hold the same terms, which a join on the whole set finds, so that records of frequent terms alone meet too. A candidate's
+score is over all shared terms: the frequent ones, few in a record, are added from each side's own map and never joined.
+Scores are rounded to nine digits so that ties are ties on every engine, and go to the smaller target id.
 """
 
 from __future__ import annotations
@@ -14,6 +15,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .durable import durable
+
+FEW = 50  # secondary records that a term retrieves however few they are
+
 
 def char_grams(text: Column, low: int = 3, high: int = 3, within_words: bool = False) -> Column:
     """Character n-grams of low to high letters; within_words pads each word with blanks and keeps to it."""
@@ -47,14 +52,21 @@ def frequencies(others: DataFrame) -> DataFrame:
 
 def _indexed(first: DataFrame, others: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both posting lists with df; terms only S1 has don't matter."""
-    df = frequencies(others)
+    df = durable(frequencies(others))
     return first.join(df, "term"), others.join(df, "term")
 
 
-def _pairs(left: DataFrame, right: DataFrame, score: Column, cap: float) -> DataFrame:
-    """Sums score over shared terms of df <= cap; left has (id, term, w), right (id, term, df, w)."""
-    met = left.select(F.col("id").alias("sid"), "term", F.col("w").alias("w1")).join(right.where(F.col("df") <= cap).select(F.col("id").alias("tid"), "term", F.col("w").alias("w2"), "df"), "term")
-    return met.groupBy("sid", "tid").agg(F.round(F.sum(score), 9).alias("score"))
+def _pairs(left: DataFrame, right: DataFrame, n: int, max_df: float) -> DataFrame:
+    """(sid, tid, score): the sum of w1 * w2 over all shared terms of candidates; both sides have (id, term, df, w)."""
+    often = F.col("df") > max(max_df * n, float(FEW))
+    held = lambda side, own: side.groupBy(F.col("id").alias(own)).agg(F.map_from_entries(F.collect_list(F.when(often, F.struct("term", "w")))).alias(f"{own}_often"), F.sort_array(F.collect_list("term")).alias("whole"))
+    rare = lambda side, own, w: side.where(~often).select(F.col("id").alias(own), "term", F.col("w").alias(w))
+    one, two = durable(held(left, "sid")), durable(held(right, "tid"))
+    met = rare(left, "sid", "w1").join(rare(right, "tid", "w2"), "term").select("sid", "tid", (F.col("w1") * F.col("w2")).alias("s"))
+    same = one.select("sid", "whole").join(two.select("tid", "whole"), "whole").select("sid", "tid", F.lit(0.0).alias("s"))
+    both = met.unionByName(same).groupBy("sid", "tid").agg(F.sum("s").alias("s")).join(one.select("sid", "sid_often"), "sid").join(two.select("tid", "tid_often"), "tid")
+    shared = F.transform(F.map_entries("sid_often"), lambda e: e["value"] * F.coalesce(F.try_element_at("tid_often", e["key"]), F.lit(0.0)))
+    return both.select("sid", "tid", F.round(F.col("s") + F.aggregate(shared, F.lit(0.0), lambda a, x: a + x), 9).alias("score"))
 
 
 def tfidf(first: DataFrame, others: DataFrame, n: int, max_df: float) -> DataFrame:
@@ -67,25 +79,26 @@ def tfidf(first: DataFrame, others: DataFrame, n: int, max_df: float) -> DataFra
         norm = p.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
         return p.join(norm, "id").withColumn("w", F.col("w") / F.col("norm"))
 
-    return _pairs(unit(one), unit(two), F.col("w1") * F.col("w2"), max_df * n)
+    return _pairs(unit(one), unit(two), n, max_df)
 
 
 def bm25(first: DataFrame, others: DataFrame, n: int, max_df: float, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(sid, tid, score): BM25 of each secondary record for the distinct terms of each S1 record."""
     size = others.groupBy("id").agg(F.sum("tf").alias("size"))
     mean = size.agg(F.avg("size")).scalar()
-    two = others.join(frequencies(others), "term").join(size, "id")
+    one, two = _indexed(first, others)
+    two = two.join(size, "id")
     idf = F.log(1.0 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("size") / mean))
-    return _pairs(first.withColumn("w", F.lit(1.0)), two.withColumn("w", weight), F.col("w2"), max_df * n)
+    return _pairs(one.withColumn("w", F.lit(1.0)), two.withColumn("w", weight), n, max_df)
 
 
 def rare_terms(first: DataFrame, others: DataFrame, n: int, max_df: float, clip: float = 6.0) -> DataFrame:
     """(sid, tid, score): sum of min(idf, clip) over shared terms, so that one odd term doesn't decide alone. Numbers of an
     address are terms like others."""
     idf = F.least(F.log(F.lit(float(n)) / F.col("df")), F.lit(clip))
-    two = others.join(frequencies(others), "term").withColumn("w", idf)
-    return _pairs(first.withColumn("w", F.lit(1.0)), two, F.col("w2"), max_df * n)
+    one, two = _indexed(first, others)
+    return _pairs(one.withColumn("w", F.lit(1.0)), two.withColumn("w", idf), n, max_df)
 
 
 def ranked(pairs: DataFrame) -> DataFrame:

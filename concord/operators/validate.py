@@ -25,11 +25,12 @@ def parsed(lines: DataFrame) -> DataFrame:
     return lines.select("line_number", F.when(at > 0, value.substr(F.lit(1), at - 1)).otherwise(value).alias("sid"), ids.alias("ids"), (at > 0).alias("tabbed"), blank(value).alias("blank"))
 
 
-def _finding(file: str, rule: str, offenders: DataFrame, what: Column | str, severity: str = "error") -> DataFrame:
-    """One row of offenders, none if there are none; examples are the first by order, kept by a bounded top-k."""
-    named = offenders.select(F.col(what) if isinstance(what, str) else what).toDF("x").distinct()
+def _finding(file: str, rule: str, offenders: DataFrame, what: str, severity: str = "error") -> DataFrame:
+    """One row of offenders, none if there are none; examples are the first by order (numbers as numbers), kept by a bounded
+    top-k."""
+    named = offenders.select(F.col(what).alias("x")).distinct()
     count = named.agg(F.count("*").alias("offenders"))
-    first = named.orderBy("x").limit(SHOWN).agg(F.array_sort(F.collect_list("x")).alias("examples"))
+    first = named.orderBy("x").limit(SHOWN).agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x.cast("string")).alias("examples"))
     row = count.withColumn("examples", first.scalar()).where("offenders > 0")
     return row.select(F.lit(file).alias("file"), F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), "offenders", "examples")
 
@@ -42,7 +43,7 @@ def list_findings(rows: DataFrame, file: str, required: DataFrame, targets: Data
     own, known = F.startswith("id", F.lit("S1-")), F.startswith("id", F.lit("S2-")) | F.startswith("id", F.lit("S3-"))
     need = required.select(F.col("id").alias("sid")).distinct()
     out = [
-        _finding(file, "malformed_row", rows.where(~F.col("tabbed") & ~F.col("blank")), F.col("line_number").cast("string")),
+        _finding(file, "malformed_row", rows.where(~F.col("tabbed") & ~F.col("blank")), "line_number"),
         _finding(file, "duplicate_row", listed.groupBy("sid").count().where("count > 1"), "sid"),
         _finding(file, "repeated_id", listed.where(F.size("ids") != F.size(F.array_distinct("ids"))), "sid"),
         _finding(file, "self_match", ids.where(own), "id"),
@@ -81,7 +82,11 @@ def _opened(spark: SparkSession, path: str, header: tuple[str, ...]) -> tuple[Da
     name = path.rsplit("/", 1)[-1]
     if not _exists(spark, path):
         return None, _one(spark, name, "file_missing", "error", path)
-    if not spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty():
+    try:
+        sound = spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty()
+    except Exception as e:  # whatever the file system says, it is a finding
+        return None, _one(spark, name, "unreadable", "fatal", path, str(e).splitlines()[0][:200])
+    if not sound:
         return None, _one(spark, name, "not_utf8", "fatal", path)
     lines = read_lines(spark, path)
     first = lines.where("line_number = 1").first()
@@ -131,7 +136,10 @@ def validate(spark: SparkSession, matching: str, candidate: str | None, test_dir
     return reduce(DataFrame.unionByName, out)
 
 
-def counts_of(rows: DataFrame) -> dict:
-    """rows, empty and non-empty lists of a file."""
+def summary(spark: SparkSession, path: str, header: tuple[str, ...] = MATCHING) -> dict | None:
+    """rows, empty and non-empty lists of a result file; None where it can't be read as one."""
+    rows, stopped = _opened(spark, path, header)
+    if stopped is not None:
+        return None
     listed = rows.where("tabbed")
     return listed.agg(F.count("*").alias("rows"), F.count_if(F.size("ids") == 0).alias("empty"), F.count_if(F.size("ids") > 0).alias("non_empty")).first().asDict()

@@ -10,17 +10,17 @@ from ..operators import blocking, features, matching, ordering, retrieval
 from ..operators.durable import durable
 from . import fixtures as X
 
-MAX_DF = 0.02
+MAX_DF = 0.02  # share of the secondary records up to which a term makes candidates; scores are over all terms
 K = 10
 
 
 def _norm(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     v = X.views(spark, sf_dir, X.CUSTOMERS)
-    return blocking.normalize(v["src1"]), blocking.normalize(v["src2"].unionByName(v["src3"])), v["truth_links"]
+    return durable(blocking.normalize(v["src1"])), durable(blocking.normalize(v["src2"].unionByName(v["src3"]))), v["truth_links"]
 
 
 def _posted(first: DataFrame, others: DataFrame, terms) -> tuple[DataFrame, DataFrame, int]:
-    return retrieval.postings(first, terms), retrieval.postings(others, terms), others.count()
+    return durable(retrieval.postings(first, terms)), durable(retrieval.postings(others, terms)), others.count()
 
 
 def _name(first: DataFrame, others: DataFrame) -> DataFrame:
@@ -132,9 +132,9 @@ def er_matcher_gbt_country_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def er_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Brier scores of the raw, Platt and isotonic probabilities."""
+    """Brier scores of the raw, Platt and isotonic probabilities, the latter fitted on the other folds."""
     scored, _, _ = _scored(spark, sf_dir)
-    both = matching.isotonic(matching.platt(scored))
+    both = matching.calibrated(scored)
     return both.select(F.explode(F.array(*[F.struct(F.lit(c).alias("calibration"), F.pow(F.col(c) - F.col("label"), 2).alias("e")) for c in ("prob", "platt", "isotonic")])).alias("x")).groupBy("x.calibration").agg(F.round(F.avg("x.e"), 6).alias("brier"))
 
 
@@ -225,17 +225,19 @@ def _retriever(name: str) -> str:
     if name in ("name", "address"):
         weigh = lambda i: f"SELECT id, term, df, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM {s}{i} JOIN {s}df USING (term), total"
         unit = lambda i: f"(SELECT id, term, df, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM ({weigh(i)}))"
-        score, left, right = "sum(a.w * b.w)", unit(1), unit(2)
+        left, right = unit(1), unit(2)
     elif name == "words":
-        left = f"(SELECT id, term FROM {s}1)"
+        left = f"(SELECT id, term, df, 1.0::DOUBLE AS w FROM {s}1 JOIN {s}df USING (term))"
         right = f"""(SELECT id, term, df, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / (SELECT avg(size) FROM (SELECT sum(tf) AS size FROM {s}2 GROUP BY id)))) AS w
             FROM {s}2 JOIN {s}df USING (term) JOIN (SELECT id, sum(tf) AS size FROM {s}2 GROUP BY id) USING (id), total)"""
-        score = "sum(b.w)"
     else:
-        left, right, score = f"(SELECT id, term FROM {s}1)", f"(SELECT id, term, df, least(ln(n / df), 6.0) AS w FROM {s}2 JOIN {s}df USING (term), total)", "sum(b.w)"
+        left, right = f"(SELECT id, term, df, 1.0::DOUBLE AS w FROM {s}1 JOIN {s}df USING (term))", f"(SELECT id, term, df, least(ln(n / df), 6.0) AS w FROM {s}2 JOIN {s}df USING (term), total)"
     return f"""{head},
+{s}l AS MATERIALIZED {left}, {s}r AS MATERIALIZED {right},
+{s}cand AS (SELECT DISTINCT a.id AS sid, b.id AS tid FROM {s}l a JOIN {s}r b USING (term) WHERE b.df <= greatest({MAX_DF} * (SELECT n FROM total), 50)
+    UNION SELECT a.id, b.id FROM (SELECT id, list_sort(list(term)) AS k FROM {s}l GROUP BY id) a JOIN (SELECT id, list_sort(list(term)) AS k FROM {s}r GROUP BY id) b USING (k)),
 {s}found AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY score DESC, tid) AS rank FROM (
-    SELECT a.id AS sid, b.id AS tid, round({score}, 9) AS score FROM {left} a JOIN {right} b USING (term) WHERE b.df <= {MAX_DF} * (SELECT n FROM total) GROUP BY ALL)),
+    SELECT sid, tid, round(sum(a.w * b.w), 9) AS score FROM {s}cand JOIN {s}l a ON a.id = sid JOIN {s}r b ON b.id = tid AND a.term = b.term GROUP BY ALL)),
 {s}top AS (SELECT * FROM {s}found WHERE rank <= {K})"""
 
 

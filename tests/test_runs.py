@@ -10,10 +10,10 @@ from concord.operators import audit, blocking, ordering, scoring, validate
 from concord.plans import runs
 from concord.sources import tables
 
-S1 = [("S1-1", "Acme & Sons", "12 Road", "France"), ("S1-2", "Royal", "28 Road", "US"), ("S1-3", None, None, "India"), ("S1-4", "Solo", "1 Avenue", "France")]
-S2 = [("S2-1", "ACME and Sons", "12 Road", "France"), ("S2-2", "Royal", "28 Road", "India"), ("S2-3", None, None, "India"), ("S2-4", "Royal", "82 Road", "US")]
-S3 = [("S3-1", "Acme and Sons", "12 Road", None)]
-TRUTH = [("S1-1", "S2-1,S3-1"), ("S1-2", "S2-4"), ("S1-3", None), ("S1-4", None)]
+S1 = [("S1-1", "Kiln & Daughters", "7 Quay", "Peru"), ("S1-2", "Heron Boats", "31 Mill Lane", "Kenya"), ("S1-3", None, None, "Nepal"), ("S1-4", "Lark", "9 Hill", "Peru"), ("S1-5", "Otter, Press", "2 Weir", "Norway")]
+S2 = [("S2-1", "KILN and Daughters", "7 Quay", "Peru"), ("S2-2", "Heron Boats", "31 Mill Lane", "Japan"), ("S2-3", None, None, "Nepal"), ("S2-4", "Heron Boats", "13 Mill Lane", "Kenya")]
+S3 = [("S3-1", "Kiln and Daughters", "7 Quay", None), ("S3-2", "OTTER PRESS", "2 Weir", "Norway")]
+TRUTH = [("S1-1", "S2-1,S3-1"), ("S1-2", "S2-4"), ("S1-3", None), ("S1-4", None), ("S1-5", "S3-2")]
 
 
 def put(path, columns, rows):
@@ -35,9 +35,9 @@ def test_audit_and_baseline(spark, root):
     report = runs.audit(spark, str(root))
     assert set(report["integrity"].values()) == {0} and report["sources"]["train_source2"]["business_name_missing"] == 1
     result = runs.baseline(spark, str(root))
-    assert result["overall"]["macro_f05"] == pytest.approx(0.75) and result["overall"]["candidate_pairs"] == 3
+    assert result["overall"]["macro_f05"] == pytest.approx(0.8) and result["overall"]["candidate_pairs"] == 4
     got = {r["sid"]: r["ids"] for r in tables.read_results(spark, str(root / "output/matching_results.tsv")).collect()}
-    assert got == {"S1-t1": ["S2-t1", "S3-t1"], "S1-t2": [], "S1-t3": [], "S1-t4": []}
+    assert got == {"S1-t1": ["S2-t1", "S3-t1"], "S1-t2": [], "S1-t3": [], "S1-t4": [], "S1-t5": ["S3-t2"]}
     wide = {r["sid"]: r["ids"] for r in tables.read_results(spark, str(root / "output/candidate_pairs.tsv"), "candidate_entity_ids").collect()}
     assert wide["S1-t2"] == ["S2-t2"] and all(set(got[s]) <= set(wide[s]) for s in got)
     assert (root / "output/matching_results.tsv").read_text().splitlines()[2] == "S1-t2\t"
@@ -45,7 +45,7 @@ def test_audit_and_baseline(spark, root):
     assert len((root / "experiments/results.csv").read_text().splitlines()) == 3
     assert sorted((root / "experiments/folds.tsv").read_text().splitlines())[-1].startswith("source1")
     sample = runs.positive_sample(spark, str(root))
-    assert sample["sample_size"] == 3 and sample["tags"]["near_exact"] == 2
+    assert sample["sample_size"] == 4 and sample["tags"]["near_exact"] == 3
 
 
 def test_baseline_needs_a_clean_audit(spark, root):
@@ -63,7 +63,7 @@ def test_entity_scores_equal_the_set_formula(spark):
     first = spark.createDataFrame(S1, ", ".join(f"{c} string" for c in tables.SOURCE_COLUMNS))
     links = tables.links_of(spark.createDataFrame(TRUTH, "source1_entity_id string, matched_entity_ids string"))
     cand = spark.createDataFrame([("S1-1", "S2-1", True), ("S1-1", "S3-1", True), ("S1-2", "S2-2", False)], "sid string, tid string, accepted boolean")
-    assert {r["sid"]: r["f05"] for r in scoring.entity_scores(first, links, cand).collect()} == {"S1-1": 1, "S1-2": 0, "S1-3": 1, "S1-4": 1}
+    assert {r["sid"]: r["f05"] for r in scoring.entity_scores(first, links, cand).collect()} == {"S1-1": 1, "S1-2": 0, "S1-3": 1, "S1-4": 1, "S1-5": 0}
 
 
 def evaluated(spark, truth, predicted):
@@ -72,7 +72,7 @@ def evaluated(spark, truth, predicted):
 
 
 def test_evaluate(spark):
-    assert evaluated(spark, {"a": ["S2-00047", "S3-00812"]}, {"a": ["S2-00047", "S3-00812", "S2-00193"]})["macro_f05"] == pytest.approx(5 / 7)
+    assert evaluated(spark, {"a": ["S2-5", "S3-9"]}, {"a": ["S2-5", "S3-9", "S2-6"]})["macro_f05"] == pytest.approx(5 / 7)
     for t, p, want in (([], [], 1), ([], ["x"], 0), (["x"], [], 0), (["x"], ["x"], 1)):
         assert evaluated(spark, {"a": t}, {"a": p})["macro_f05"] == want
     mixed = evaluated(spark, {"a": [], "b": ["x", "y"]}, {"a": [], "b": ["x"]})
@@ -114,11 +114,11 @@ def findings(spark, root, matching, candidate=None, **options):
 
 def test_validator_rules(spark, root):
     head = "source1_entity_id\tmatched_entity_ids\n"
-    sound = head + "S1-t1\tS2-t1,S3-t1\nS1-t2\t\n\nS1-t3\t\nS1-t4\t \n"
+    sound = head + "S1-t1\tS2-t1,S3-t1\nS1-t2\t\n\nS1-t3\t\nS1-t4\t \nS1-t5\t\n"
     assert findings(spark, root, sound, sound.replace("matched", "candidate"), check_ids=True) == {}
     bad = head + "S1-t1\tS2-t1,S2-t1\nS1-t1\tS1-t1,X9\nno tab\nS1-t2\tS2-none\nS1-zz\t\n"
-    got = findings(spark, root, bad, "source1_entity_id\tcandidate_entity_ids\nS1-t1\t\nS1-t2\t\nS1-t3\t\nS1-t4\t\n", check_ids=True)
-    want = {"malformed_row": ["4"], "duplicate_row": ["S1-t1"], "repeated_id": ["S1-t1"], "self_match": ["S1-t1"], "wrong_prefix": ["X9"], "unknown_id": ["S2-none"], "missing_s1": ["S1-t3", "S1-t4"], "unknown_s1": ["S1-zz"]}
+    got = findings(spark, root, bad, "source1_entity_id\tcandidate_entity_ids\nS1-t1\t\nS1-t2\t\nS1-t3\t\nS1-t4\t\nS1-t5\t\n", check_ids=True)
+    want = {"malformed_row": ["4"], "duplicate_row": ["S1-t1"], "repeated_id": ["S1-t1"], "self_match": ["S1-t1"], "wrong_prefix": ["X9"], "unknown_id": ["S2-none"], "missing_s1": ["S1-t3", "S1-t4", "S1-t5"], "unknown_s1": ["S1-zz"]}
     assert {k: v[2] for k, v in got.items() if v[0] == "error"} == want
     assert got["match_not_candidate"][0] == "warning"
     assert set(findings(spark, root, "a,b\nS1-t1,S2-t1\n", check_ids=True)) >= {"comma_separated"}
@@ -174,3 +174,5 @@ def test_extract_and_commands(spark, root, capsys):
     assert main(["evaluate", "--truth", str(truth), "--predictions", str(truth)]) == 0
     assert '"macro_f05": 1.0' in capsys.readouterr().out
     assert main(["validate", "-m", str(truth), "-t", str(root / "dataset/test")]) == 1
+    said = capsys.readouterr().out.splitlines()
+    assert said[-1] == "FAIL" and said[-2] == "5 rows, 2 empty, 3 non-empty"
