@@ -153,6 +153,21 @@ def search(index: DataFrame, queries: DataFrame, model: Quantiser, k: int = 20,
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows SCAN at a time, however they come, so that no result depends on the size of Arrow batches."""
+    held, n = [], 0
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            held.append(batch.slice(at, SCAN - n))
+            n, at = n + held[-1].num_rows, at + held[-1].num_rows
+            if n == SCAN:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _scan(shared, k: int, rerank: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, asked, books = shared.value
@@ -160,30 +175,28 @@ def _scan(shared, k: int, rerank: int):
             return
 
         held_id, held_score = [np.zeros(0, np.int64)] * len(ids), [np.zeros(0)] * len(ids)
-        for batch in batches:
-            for at in range(0, batch.num_rows, SCAN):
-                part = batch.slice(at, SCAN)
-                rows = part.column(0).to_numpy()
-                order = np.argsort(rows, kind="stable")
-                rows = rows[order]
-                vectors = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)[order]
-                codes = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(len(rows), -1)[order]
-                for first in range(0, len(ids), ASK):
-                    group = slice(first, first + ASK)
-                    tables = _tables(asked[group], books)
-                    near = np.zeros((len(tables), len(rows)), np.float32)
-                    for byte in range(codes.shape[1]):
-                        near += tables[:, byte].take(codes[:, byte], axis=1)
-                    cut = np.partition(near, -rerank, axis=1)[:, -rerank] if len(rows) > rerank else np.full(len(near), -np.inf)
-                    for i in range(len(tables)):
-                        q = first + i
-                        hit = np.flatnonzero(near[i] >= cut[i])
-                        hit = hit[np.argsort(-near[i, hit], kind="stable")[: rerank + 1]]
-                        hit = hit[rows[hit] != ids[q]]
-                        exact = (vectors[hit] * asked[q]).sum(axis=1)
-                        all_id, all_score = np.concatenate([held_id[q], rows[hit]]), np.concatenate([held_score[q], exact])
-                        best = _best(all_id, all_score, k)
-                        held_id[q], held_score[q] = all_id[best], all_score[best]
+        for part in _blocks(batches):
+            rows = part.column(0).to_numpy()
+            order = np.argsort(rows, kind="stable")
+            rows = rows[order]
+            vectors = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)[order]
+            codes = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(len(rows), -1)[order]
+            for first in range(0, len(ids), ASK):
+                group = slice(first, first + ASK)
+                tables = _tables(asked[group], books)
+                near = np.zeros((len(tables), len(rows)), np.float32)
+                for byte in range(codes.shape[1]):
+                    near += tables[:, byte].take(codes[:, byte], axis=1)
+                cut = np.partition(near, -rerank, axis=1)[:, -rerank] if len(rows) > rerank else np.full(len(near), -np.inf)
+                for i in range(len(tables)):
+                    q = first + i
+                    hit = np.flatnonzero(near[i] >= cut[i])
+                    hit = hit[np.argsort(-near[i, hit], kind="stable")[: rerank + 1]]
+                    hit = hit[rows[hit] != ids[q]]
+                    exact = (vectors[hit] * asked[q]).sum(axis=1)
+                    all_id, all_score = np.concatenate([held_id[q], rows[hit]]), np.concatenate([held_score[q], exact])
+                    best = _best(all_id, all_score, k)
+                    held_id[q], held_score[q] = all_id[best], all_score[best]
         sizes = np.fromiter(map(len, held_id), np.int64, len(ids))
         if sizes.sum():
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)), pa.array(np.concatenate(held_id)), pa.array(np.concatenate(held_score))], ["query_id", "vec_id", "score"])

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 
 from concord.llm import ann
 
@@ -34,6 +35,12 @@ def test_recall_and_scores_on_the_whole_table(spark):
     assert all(abs(s - (by[q] * by[i]).sum()) < 1e-12 for q, v in got.items() for i, s in v)
 
 
+def test_blocks_do_not_depend_on_batches():
+    table = pa.table({"id": np.arange(10_000)})
+    cut = lambda n: [b.column(0).to_pylist() for b in ann._blocks(iter(table.to_batches(max_chunksize=n)))]
+    assert cut(10_000) == cut(512) == cut(4096) == cut(7) and [len(x) for x in cut(512)] == [4096, 4096, 1808]
+
+
 def test_anisotropic_codes_lose_less_in_parallel():
     rng = np.random.default_rng(1)
     x, books = rng.normal(size=(500, 8)), rng.normal(size=(4, 16, 2))
