@@ -5,12 +5,14 @@ common words (those with a share of at least min_share of all its words) with on
 method if the Jensen-Shannon distance (base 2, 0 to 1) of its own histogram to the reference is over a threshold, for
 either histogram; texts shorter than the minimum lengths are too short to be told apart and pass.
 
-Common words are found exactly in two passes with little to shuffle: a word with a share of min_share has it in some chunk
-of the corpus too, so each chunk sends the words that are common in it, and the second pass counts just those.
+Common words are found exactly in two passes with little to shuffle: each task keeps a bounded list of its frequent words,
+whose counts are too low by a bounded share; no common word is missing among those whose sums come near min_share, and the
+second pass counts just these.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,7 +25,8 @@ from pyspark.sql import functions as F
 from .common import durable
 
 SYMBOLS = b"#*$%&|<>"
-CHUNK = 200_000  # words that a task gathers before it sends what is common among them
+CHUNK = 200_000  # words of a language that a task counts before it drops the less frequent ones
+SLACK = 4  # lists of words are so many times as long as that of common words
 PART = 1 << 20  # bytes of text handled at a time
 CLASSES = ("lower", "upper", "digit", "blank", "stop", "symbol", "other_ascii", "non_ascii")
 
@@ -61,35 +64,45 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str | None, byte
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], min_share: float) -> Iterator[pa.RecordBatch]:
+    """(lang, word, n): at most SLACK / min_share words a language and task, n at most that share / SLACK of its words too
+    low; and its words' number, with a null word. Less frequent words are dropped with what they weigh off the others."""
     counts: dict[str, Counter] = {}
+    pending: Counter = Counter()
     sizes: Counter = Counter()
+    most = math.ceil(SLACK / min_share)
 
-    def flush(lang: str) -> pa.RecordBatch:
-        least, size = min_share * sizes[lang], sizes.pop(lang)
-        found = [w for w, n in counts.pop(lang).items() if n >= least and size]
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.binary())], ["lang", "word"])
+    def prune(lang: str) -> None:
+        pending.pop(lang, None)
+        if len(counts[lang]) > most:
+            off = sorted(counts[lang].values(), reverse=True)[most]
+            counts[lang] = Counter({w: n - off for w, n in counts[lang].items() if n > off})
 
     for lang, data in _texts(batches):
         words = data.lower().split()
         counts.setdefault(lang, Counter()).update(words)
         sizes[lang] += len(words)
-        if sizes[lang] >= CHUNK:
-            yield flush(lang)
-    for lang in list(counts):
-        yield flush(lang)
+        pending[lang] += len(words)
+        if pending[lang] >= CHUNK:
+            prune(lang)
+    for lang in counts:
+        prune(lang)
+        found = [(None, sizes[lang]), *counts[lang].items()]
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array([w for w, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())], ["lang", "word", "n"])
 
 
-def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_share: float = 0.002, min_doc_share: float = 0.001) -> Reference:
-    """References of all languages with at least min_doc_share of the labelled documents (so 1 / min_doc_share at most;
-    each has 1 / min_share common words at most). Every whole text counts. No labelled document: no reference."""
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_share: float = 0.002) -> Reference:
+    """References of all languages that a document is labelled with, however rare. Every whole text counts.
+
+    A language has 1 / min_share common words at most, and the driver gets a third more as candidates; the languages are as
+    many as there are labels. No labelled document: no reference.
+    """
     spark = docs.sparkSession
     labelled = docs.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull())
     data = labelled.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").cast("binary").alias("data"))
-    sizes = durable(data.groupBy("lang").count())
-    total = sizes.agg(F.sum("count")).first()[0] or 0
-    langs = sorted(r["lang"] for r in sizes.where(F.col("count") >= min_doc_share * total).collect())
-    data = data.where(F.col("lang").isin(langs))
-    found = data.mapInArrow(lambda b: _candidates(b, min_share), "lang string, word binary").distinct().collect() if langs else []
+    sums = durable(data.mapInArrow(lambda b: _candidates(b, min_share), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    sizes = sums.where("word is null").select("lang", F.col("n").alias("size"))
+    langs = sorted(r["lang"] for r in sizes.collect())
+    found = sums.where("word is not null").join(F.broadcast(sizes), "lang").where(F.col("n") >= F.col("size") * min_share * (1 - 1 / SLACK) - 1e-6).select("lang", "word").collect()
     wanted: dict[str, dict[bytes, int]] = {lang: {} for lang in langs}
     for r in sorted(found, key=lambda r: (r["lang"], bytes(r["word"]))):
         wanted[r["lang"]][bytes(r["word"])] = len(wanted[r["lang"]])

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from concord.llm import quality
 
@@ -57,6 +58,19 @@ def test_counts_and_distances_against_loops(spark):
         assert g["kept"] == (not failed and g["char_js"] <= 0.28 and g["word_js"] <= 0.45)
 
 
+def test_every_common_word_is_among_the_candidates(spark):
+    rng = np.random.default_rng(2)
+    texts = {lang: [" ".join(f"{lang}{min(int(x), 50_000)}" for x in rng.zipf(1.3, 4000)) for _ in range(n)] for lang, n in (("aa", 150), ("bb", 1))}
+    docs = spark.createDataFrame([(i, t, lang) for lang, ts in texts.items() for i, t in enumerate(ts)], "doc_id long, text string, lang string")
+    ref = quality.learn(docs)
+    assert set(ref.words) == {"aa", "bb"}  # a language of one document in 151 has its reference
+    for lang, ts in texts.items():
+        c = Counter(w.encode() for t in ts for w in t.split())
+        assert set(ref.words[lang]) == {w for w, n in c.items() if n >= 0.002 * sum(c.values())}
+    lists = list(quality._candidates(iter([pa.RecordBatch.from_arrays([pa.array(["aa"] * 150), pa.array([t.encode() for t in texts["aa"]])], ["lang", "data"])]), 0.002))
+    assert len(lists) == 1 and 500 < lists[0].num_rows <= 2001
+
+
 def test_edges(spark):
     normal = "the cat sat on a mat and the dog ran to it while we saw " * 3
     rows = [(1, None, "en", "a"), (2, "", None, "a"), (3, normal, "en", "a"), (3, normal, "en", "a"), (None, "x" * 50_000, "en", None), (5, "a b " * 50_000, None, "b"), (6, "&%$ " * 100, "zz", "b"), (7, "one\n\none\none \n", "en", "b")]
