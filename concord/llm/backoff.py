@@ -3,182 +3,188 @@
 S(w | v) = c(v w) / c(v) where the bigram v w occurs at least min_count times, else backoff * c(w) / N. A document's score
 is the sum of ln S over its words but the first.
 
-Counts are never gathered in one place. Words are counted by hash; those with a share of min_share or more (so at most
-1 / min_share of them) are broadcast with their counts. Bigrams, each with its document and how often it has it, are dealt
-into hash partitions: by v, or by v and w where v is frequent, so that no frequent word meets in one task. A partition
-counts its bigrams, joins the counts to its rows and adds up by document; the counts of its rare v were dealt to it by the
-same hash. Backed-off rare words are joined to the word counts by a shuffle. What is dealt are columns packed by chunk and
-partition, sorted and compressed, since rows would be several times the input.
+ln S is a value of the word, ln(backoff * c(w) / N), plus a correction where the bigram was seen, so a score is the sum of
+the values of all words and seen bigrams of a document: n-grams joined to a table of values. Three passes:
+
+1. words are counted;
+2. bigrams are counted by hash; those seen get their words' counts by joins, and so their corrections;
+3. n-grams are exploded by document, joined to the values in hash partitions and summed by document.
+
+Words and bigrams with a share of min_share or more (at most 1 / min_share of each) are frequent. Their values are broadcast
+and summed where the document is read, so no frequent key is ever shuffled and no partition is hot. The third pass runs
+once for each of some slices of the hashes, so that only one slice is on disk at a time.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, small_batches
+from .common import discard, scratch, small_batches
 
-CHUNK = 1_000_000  # words that a task gathers before it deals them
-ROWS = 3_000_000  # bigrams to a partition, about
-NULL_ID = -(2**63)
 MIX = np.uint64(0x9E3779B97F4A7C15)
+NO_WORD = 0  # stands for the first word where a row is about one word
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def _mix(a: np.ndarray, b: np.ndarray | int = 0) -> np.ndarray:
-    x = (a.astype(np.uint64) ^ (np.asarray(b, np.uint64) * MIX)) * np.uint64(0xBF58476D1CE4E5B9)
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = (a.astype(np.uint64) ^ (b.astype(np.uint64) * MIX)) * np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(31)
     x *= np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(29))
 
 
-def _pack(*columns: np.ndarray) -> bytes:
-    """Columns of 64-bit values as compressed byte planes; what is sorted or small takes little."""
-    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
-
-
-def _unpack(blob: bytes, columns: int) -> list[np.ndarray]:
-    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    return [np.ascontiguousarray(part.reshape(8, -1).T).view(np.int64).ravel() for part in np.split(data, columns)]
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(hash, id, row) of the words of some documents, whole documents at a time."""
+def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+    """(hash and document of each word, ids of the documents) of whole documents with some size words together."""
     known: dict[bytes, int] = {}
     words: list[np.ndarray] = []
-    ids: list[np.ndarray] = []
-    size = 0
+    ids: list[int | None] = []
+    held = 0
+
+    def told() -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w) >> 1 for w in known), np.int64, len(known))
+        docs = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
+        return hashes[np.concatenate(words)], docs, pa.array(ids, pa.int64())
+
     for batch in batches:
-        for id_, data in zip(batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False).tolist(), batch.column(1), strict=True):
+        for id_, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             found = data.as_buffer().to_pybytes().split() if data.is_valid else []
-            # a document's own words are marked by their index in known, the hashes are looked up by chunk
             words.append(np.fromiter((known.setdefault(w, len(known)) for w in found), np.int64, len(found)))
-            ids.append(np.full(len(found), id_))
-            size += len(found)
-            if size >= CHUNK:
-                yield _hashed(known, words, ids)
-                known, words, ids, size = {}, [], [], 0
+            ids.append(id_)
+            held += len(found)
+            if held >= size:
+                yield told()
+                known.clear(), words.clear(), ids.clear()
+                held = 0
     if words:
-        yield _hashed(known, words, ids)
+        yield told()
+
 
+def _look_up(keys: np.ndarray, sought: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each sought value in sorted keys, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(sought), np.int64), np.zeros(len(sought), bool)
+    at = np.minimum(np.searchsorted(keys, sought), len(keys) - 1)
+    return at, keys[at] == sought
 
-def _hashed(known: dict[bytes, int], words: list[np.ndarray], ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in known), np.uint64, len(known)).view(np.int64)
-    rows = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
-    return hashes[np.concatenate(words)], np.concatenate(ids), rows
 
+def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Two codes of frequent words as one number; -1 where a word is rare."""
+    return np.where((v > 0) & (w > 0), v << 32 | w, -1)
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for words, _, _ in _chunks(batches):
-        h, n = np.unique(words, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], ["h", "n"])
 
+@contextmanager
+def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Deletes the shuffle files of what is written meanwhile as soon as it is written."""
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_count: int = 2, backoff: float = 0.4, min_share: float = 1e-6) -> DataFrame:
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_count: int = 2, backoff: float = 0.4, min_share: float = 1e-6, slices: int = 2, chunk: int = 1_000_000, rows: int = 2_000_000) -> DataFrame:
     """(id, n_scored, log_score), one row per distinct id (of an integer type; null counts as an id).
 
     Rows that share an id are scored as one document, without a bigram across rows. Texts of fewer than two words, empty
-    and null ones have 0 and 0. Words are told apart by 64-bit hashes. Extra columns are ignored.
+    and null ones have 0 and 0. Words are told apart by 63-bit hashes. Extra columns are ignored.
+
+    A task gathers chunk words before it sends their n-grams on; rows is about how many n-grams a partition gets.
     """
     spark = docs.sparkSession
     small_batches(spark)
     data = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("data"))
-    path = scratch(spark, "words")
-    data.mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).write.parquet(path)
-    words = spark.read.parquet(path)
+
+    def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+        path = scratch(spark, name)
+        with _shuffles_deleted(spark):
+            df.write.parquet(path)
+        return spark.read.parquet(path), path
+
+    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, _, _ in _chunks(batches, chunk):
+            h, n = np.unique(words, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], ["h", "n"])
+
+    words, words_path = written(data.mapInArrow(count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
     total = words.agg(F.sum("n")).first()[0] or 0
     least = max(1.0, total * min_share)
-    common = words.where(F.col("n") >= least).toPandas()
-    order = np.argsort(common["h"].to_numpy(np.int64))
-    shared = spark.sparkContext.broadcast((common["h"].to_numpy(np.int64)[order], common["n"].to_numpy(np.int64)[order]))
-    parts = max(1, math.ceil(total / ROWS))
-
-    def coded(h: np.ndarray) -> np.ndarray:
-        """A frequent word as its place in the table, any other as its hash with the top bit set (a negative number)."""
-        table = shared.value[0]
-        if not len(table):
-            return h | NULL_ID
-        at = np.minimum(np.searchsorted(table, h), len(table) - 1)
-        return np.where(table[at] == h, at, h | NULL_ID)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for hashes, ids, rows in _chunks(batches):
-            if len(hashes) < 2:
-                continue
-            h, back = np.unique(hashes, return_inverse=True)
-            word = coded(h)[back]
-            same = rows[1:] == rows[:-1]
-            v, w, doc = word[:-1][same], word[1:][same], ids[1:][same]
-            part = (_mix(v, np.where(v < 0, 0, w)) % np.uint64(parts)).astype(np.int64)
-            order = np.lexsort((doc, w, v, part))
-            v, w, doc, part = v[order], w[order], doc[order], part[order]
-            new = np.ones(len(v), bool)
-            new[1:] = (v[1:] != v[:-1]) | (w[1:] != w[:-1]) | (doc[1:] != doc[:-1])
-            first = np.flatnonzero(new)
-            n = np.diff(np.append(first, len(v)))
-            v, w, doc, part = v[first], w[first], doc[first], part[first]
-            cuts = np.flatnonzero(np.diff(part)) + 1
-            bounds = list(zip(np.append(0, cuts).tolist(), np.append(cuts, len(part)).tolist(), strict=True)) if len(part) else []
-            yield pa.RecordBatch.from_arrays([pa.array([int(part[s]) for s, _ in bounds], pa.int64()), pa.array([3] * len(bounds), pa.int64()), pa.array([_pack(v[s:e], w[s:e], doc[s:e], n[s:e]) for s, e in bounds], pa.binary())], ["part", "kind", "blob"])
-
-    def deal_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            v, n = batch.column(0).to_numpy() | NULL_ID, batch.column(1).to_numpy()
-            part = (_mix(v, 0) % np.uint64(parts)).astype(np.int64)
-            order = np.lexsort((v, part))
-            v, n, part = v[order], n[order], part[order]
-            cuts = np.flatnonzero(np.diff(part)) + 1
-            bounds = list(zip(np.append(0, cuts).tolist(), np.append(cuts, len(part)).tolist(), strict=True)) if len(part) else []
-            yield pa.RecordBatch.from_arrays([pa.array([int(part[s]) for s, _ in bounds], pa.int64()), pa.array([2] * len(bounds), pa.int64()), pa.array([_pack(v[s:e], n[s:e]) for s, e in bounds], pa.binary())], ["part", "kind", "blob"])
-
-    def settle(group: pd.DataFrame) -> pd.DataFrame:
-        """Counts the bigrams of a partition and adds up by document; rare words backed off to are left to a join."""
-        blobs = group["blob"].tolist()
-        kinds = group["kind"].tolist()
-        rows = [_unpack(b, 4) for b, k in zip(blobs, kinds, strict=True) if k == 3]
-        rare = [_unpack(b, 2) for b, k in zip(blobs, kinds, strict=True) if k == 2]
-        if not rows:
-            return pd.DataFrame({"id": [], "word": [], "n": [], "score": []})
-        v, w, doc, n = (np.concatenate(c) for c in zip(*rows, strict=True))
-        del rows, blobs
-        back = np.unique(_mix(v, w), return_inverse=True)[1]
-        c2 = np.bincount(back, n)[back]
-        known = shared.value[1].astype(np.float64)
-        c1 = np.ones(len(v))
-        c1[v >= 0] = known[v[v >= 0]]
-        if rare:
-            rare_v, rare_n = (np.concatenate(c) for c in zip(*rare, strict=True))
-            order = np.argsort(rare_v)
-            c1[v < 0] = rare_n[order][np.searchsorted(rare_v[order], v[v < 0])]
-        seen = c2 >= min_count
-        part = np.zeros(len(v))
-        part[seen] = np.log(c2[seen]) - np.log(c1[seen])
-        near = ~seen & (w >= 0)
-        part[near] = math.log(backoff) + np.log(known[w[near]]) - math.log(total)
-        done = seen | (w >= 0)
-        ids, at = np.unique(doc[done], return_inverse=True)
-        sums = pd.DataFrame({"id": ids, "word": np.zeros(len(ids), np.int64), "n": np.bincount(at, n[done], len(ids)).astype(np.int64), "score": np.bincount(at, (part * n)[done], len(ids))})
-        rest = pd.DataFrame({"id": doc[~done], "word": w[~done], "n": n[~done], "score": np.zeros((~done).sum())})
-        return pd.concat([sums, rest], ignore_index=True)
-
-    dealt = data.mapInArrow(deal, "part long, kind long, blob binary")
-    if total:
-        dealt = dealt.unionByName(words.where(F.col("n") < least).mapInArrow(deal_words, "part long, kind long, blob binary"))
-    told = scratch(spark, "scores")
-    dealt.groupBy("part").applyInPandas(settle, "id long, word long, n long, score double").write.parquet(told)
-    told = spark.read.parquet(told)
-    counts = words.where(F.col("n") < least).select(F.col("h").bitwiseOR(F.lit(NULL_ID)).alias("word"), F.col("n").alias("c1"))
-    scale = math.log(backoff) - math.log(max(1, total))
-    late = told.where("word < 0").join(counts, "word").select("id", "n", (F.col("n") * (F.log("c1") + scale)).alias("score"))
-    every = told.where("word >= 0").select("id", "n", "score").unionByName(late)
-    every = every.select(F.when(F.col("id") == NULL_ID, None).otherwise(F.col("id")).alias("id"), "n", "score")
-    every = every.unionByName(data.select("id", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("score")))
+    base = math.log(backoff) - math.log(max(1, total))
+    # codes: a frequent word's place among them, from 1; any other is -1 - hash
+    frequent = words.where(F.col("n") >= least).toPandas().sort_values("h")
+    hashes, counts = frequent["h"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64)
+    shared = spark.sparkContext.broadcast((hashes, np.append(0.0, np.log(counts) + base)))
+    often = F.broadcast(spark.createDataFrame(pa.table({"code": pa.array(np.arange(1, len(hashes) + 1)), "c": pa.array(counts)})))
+    rare = words.where(F.col("n") < least).select((-1 - F.col("h")).alias("code"), F.col("n").alias("c"))
+
+    def bigrams(words: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First and second word's code, and document, of all bigrams."""
+        h, back = np.unique(words, return_inverse=True)
+        at, there = _look_up(shared.value[0], h)
+        code = np.where(there, at + 1, -1 - h)[back]
+        same = docs[1:] == docs[:-1]
+        return code[:-1][same], code[1:][same], docs[1:][same]
+
+    def count_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, docs, _ in _chunks(batches, chunk):
+            v, w, _ = bigrams(words, docs)
+            _, first, n = np.unique(_mix(v, w), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(v[first]), pa.array(w[first]), pa.array(n)], ["v", "w", "n"])
+
+    seen = data.mapInArrow(count_bigrams, "v long, w long, n long").groupBy("v", "w").agg(F.sum("n").alias("n"))
+    seen, seen_path = written(seen.where(F.col("n") >= min_count), "bigrams")
+
+    def counted(df: DataFrame, word: str) -> DataFrame:
+        """df with the count of a word; only rare words are joined by a shuffle."""
+        known = [c.withColumnsRenamed({"code": word, "c": f"c_{word}"}) for c in (often, rare)]
+        return df.where(F.col(word) > 0).join(known[0], word).unionByName(df.where(F.col(word) < 0).join(known[1], word))
+
+    worth = F.log("n") - F.log("c_v") - F.log("c_w") - F.lit(base)
+    values, values_path = written(counted(counted(seen, "v"), "w").select("v", "w", "n", worth.alias("value")), "values")
+    discard(spark, seen_path)
+    top = values.where(F.col("n") >= least).toPandas()
+    keys = _pair(top["v"].to_numpy(np.int64), top["w"].to_numpy(np.int64))
+    order = np.argsort(keys)
+    paired = spark.sparkContext.broadcast((keys[order], top["value"].to_numpy(np.float64)[order]))
+    others = values.where(F.col("n") < least).select("v", "w", "value")
+    others = others.unionByName(rare.select(F.lit(NO_WORD).cast("long").alias("v"), F.col("code").alias("w"), (F.log("c") + base).alias("value")))
+
+    def explode(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[pa.RecordBatch]:
+        """The n-grams of a slice that aren't frequent, by document; in the first slice also a row of the frequent ones' sum."""
+        for words, docs, ids in _chunks(batches, chunk):
+            v, w, doc = bigrams(words, docs)
+            at, there = _look_up(paired.value[0], _pair(v, w))
+            lone = w < 0
+            gram_v, gram_w = np.append(v[~there], np.full(lone.sum(), NO_WORD)), np.append(w[~there], w[lone])
+            gram_doc = np.append(doc[~there], doc[lone])
+            mine = _mix(gram_v, gram_w) % np.uint64(slices) == part
+            gram_v, gram_w, gram_doc = gram_v[mine], gram_w[mine], gram_doc[mine]
+            order = np.argsort(gram_doc, kind="stable")
+            yield pa.RecordBatch.from_arrays([pa.array(gram_v[order]), pa.array(gram_w[order]), ids.take(pa.array(gram_doc[order])), pa.nulls(len(order), pa.int64()), pa.nulls(len(order), pa.float64())], ["v", "w", "id", "n", "known"])
+            if part == 0:
+                sums = np.where(lone, 0.0, shared.value[1][np.maximum(w, 0)])
+                sums[there] += paired.value[1][at[there]]
+                own, n = np.bincount(doc, sums, len(ids)).astype(np.float64), np.bincount(doc, minlength=len(ids)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), NO_WORD)), pa.array(np.arange(1, len(ids) + 1)), ids, pa.array(n), pa.array(own)], ["v", "w", "id", "n", "known"])
+
+    parts = max(1, math.ceil(total / rows / slices))
+    table = others.repartition(parts, "v", "w").hint("shuffle_hash")
+    told = []
+    for part in range(slices):
+        grams = data.mapInArrow(lambda batches, part=part: explode(batches, part), "v long, w long, id long, n long, known double")
+        met = grams.repartition(parts, "v", "w").join(table, ["v", "w"], "left").select("id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("known", "value").alias("score")).where("score is not null")
+        told.append(written(met.groupBy("id").agg(F.sum("n").alias("n"), F.sum("score").alias("score")), f"scores-{part}")[0])
+    discard(spark, words_path)
+    discard(spark, values_path)
+    every = data.select("id", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("score"))
+    for one in told:
+        every = every.unionByName(one)
     return every.groupBy("id").agg(F.sum("n").alias("n_scored"), F.sum("score").alias("log_score"))
