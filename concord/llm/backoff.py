@@ -4,14 +4,15 @@ S(w | v) = c(v w) / c(v) where the bigram v w occurs at least min_count times, e
 is the sum of ln S over its words but the first.
 
 ln S is a value of the word, ln(backoff * c(w) / N), plus a correction where the bigram was seen, so a score is the sum of
-the values of all words and seen bigrams of a document: n-grams joined to a table of values. Three passes:
+the values of all words and seen bigrams of a document: n-grams joined to a table of values. Four passes:
 
-1. words are counted;
-2. bigrams are counted by hash; those seen get their words' counts by joins, and so their corrections;
-3. n-grams are exploded by document, joined to the values in hash partitions and summed by document.
+1. texts are split once, and written as the hashes of their words in chunks of documents;
+2. words are counted;
+3. bigrams are counted by hash; those seen get their words' counts by joins, and so their corrections;
+4. n-grams are exploded by document, joined to the values in hash partitions and summed by document.
 
 Words and bigrams with a share of min_share or more (at most 1 / min_share of each) are frequent. Their values are broadcast
-and summed where the document is read, so no frequent key is ever shuffled and no partition is hot. The third pass runs
+and summed where the document is read, so no frequent key is ever shuffled and no partition is hot. The last pass runs
 once for each of some slices of the hashes, so that only one slice is on disk at a time.
 """
 
@@ -32,6 +33,9 @@ from .common import discard, scratch, small_batches
 MIX = np.uint64(0x9E3779B97F4A7C15)
 NO_WORD = 0  # stands for the first word where a row is about one word
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+SPLITS = "spark.sql.files.minPartitionNum"
+TASK = 4_000_000  # words that a task of the later passes reads, about
+CHUNKS = "hashes binary, places binary, sizes binary, ids array<long>"
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -41,22 +45,24 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
-    """(hash and document of each word, ids of the documents) of whole documents with some size words together."""
+def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Whole documents with some size words together: their distinct words' hashes, the place of each word among these, the
+    number of words of each document, and the ids."""
     known: dict[bytes, int] = {}
     words: list[np.ndarray] = []
     ids: list[int | None] = []
     held = 0
 
-    def told() -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    def told() -> pa.RecordBatch:
         hashes = np.fromiter((xxhash.xxh64_intdigest(w) >> 1 for w in known), np.int64, len(known))
-        docs = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
-        return hashes[np.concatenate(words)], docs, pa.array(ids, pa.int64())
+        sizes = np.fromiter(map(len, words), np.int32, len(words))
+        blobs = [pa.array([x.tobytes()], pa.binary()) for x in (hashes, np.concatenate(words), sizes)]
+        return pa.RecordBatch.from_arrays([*blobs, pa.array([ids], pa.list_(pa.int64()))], ["hashes", "places", "sizes", "ids"])
 
     for batch in batches:
         for id_, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             found = data.as_buffer().to_pybytes().split() if data.is_valid else []
-            words.append(np.fromiter((known.setdefault(w, len(known)) for w in found), np.int64, len(found)))
+            words.append(np.fromiter((known.setdefault(w, len(known)) for w in found), np.int32, len(found)))
             ids.append(id_)
             held += len(found)
             if held >= size:
@@ -67,6 +73,14 @@ def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.n
         yield told()
 
 
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
+    """(hashes, place of each word, document of each word, ids) of each chunk."""
+    for batch in batches:
+        for at in range(batch.num_rows):
+            hashes, places, sizes = (np.frombuffer(x.as_buffer(), kind) if len(x.as_py()) else np.zeros(0, kind) for x, kind in ((batch.column(0)[at], np.int64), (batch.column(1)[at], np.int32), (batch.column(2)[at], np.int32)))
+            yield hashes, places, np.repeat(np.arange(len(sizes)), sizes), batch.column(3)[at].values
+
+
 def _look_up(keys: np.ndarray, sought: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The place of each sought value in sorted keys, and whether it is there."""
     if not len(keys):
@@ -81,14 +95,16 @@ def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 @contextmanager
-def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
-    """Deletes the shuffle files of what is written meanwhile as soon as it is written."""
-    before = spark.conf.get(CLEAN_UP, None)
-    spark.conf.set(CLEAN_UP, "true")
+def _settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """Session settings for what is written meanwhile."""
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_count: int = 2, backoff: float = 0.4, min_share: float = 1e-6, slices: int = 2, chunk: int = 1_000_000, rows: int = 2_000_000) -> DataFrame:
@@ -97,26 +113,30 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
     Rows that share an id are scored as one document, without a bigram across rows. Texts of fewer than two words, empty
     and null ones have 0 and 0. Words are told apart by 63-bit hashes. Extra columns are ignored.
 
-    A task gathers chunk words before it sends their n-grams on; rows is about how many n-grams a partition gets.
+    A chunk holds that many words and one document's more at most; rows is about how many n-grams a partition gets.
     """
     spark = docs.sparkSession
     small_batches(spark)
     data = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("data"))
 
+    # shuffles are deleted as soon as what they were for is written, as their files count for more than the tables
+    settings = {CLEAN_UP: "true"}
+
     def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
         path = scratch(spark, name)
-        with _shuffles_deleted(spark):
-            df.write.parquet(path)
+        with _settings(spark, settings):
+            df.write.option("compression", "zstd").parquet(path)
         return spark.read.parquet(path), path
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, _, _ in _chunks(batches, chunk):
-            h, n = np.unique(words, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], ["h", "n"])
+        for hashes, places, _, _ in _opened(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(np.bincount(places, minlength=len(hashes)))], ["h", "n"])
 
-    words, words_path = written(data.mapInArrow(count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
+    chunks, chunks_path = written(data.mapInArrow(lambda batches: _chunks(batches, chunk), CHUNKS), "chunks")
+    words, words_path = written(chunks.mapInArrow(count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
     total = words.agg(F.sum("n")).first()[0] or 0
     least = max(1.0, total * min_share)
+    settings[SPLITS] = str(max(1, math.ceil(total / TASK)))
     base = math.log(backoff) - math.log(max(1, total))
     # codes: a frequent word's place among them, from 1; any other is -1 - hash
     frequent = words.where(F.col("n") >= least).toPandas().sort_values("h")
@@ -125,21 +145,20 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
     often = F.broadcast(spark.createDataFrame(pa.table({"code": pa.array(np.arange(1, len(hashes) + 1)), "c": pa.array(counts)})))
     rare = words.where(F.col("n") < least).select((-1 - F.col("h")).alias("code"), F.col("n").alias("c"))
 
-    def bigrams(words: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def bigrams(hashes: np.ndarray, places: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First and second word's code, and document, of all bigrams."""
-        h, back = np.unique(words, return_inverse=True)
-        at, there = _look_up(shared.value[0], h)
-        code = np.where(there, at + 1, -1 - h)[back]
+        at, there = _look_up(shared.value[0], hashes)
+        code = np.where(there, at + 1, -1 - hashes)[places]
         same = docs[1:] == docs[:-1]
         return code[:-1][same], code[1:][same], docs[1:][same]
 
     def count_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, docs, _ in _chunks(batches, chunk):
-            v, w, _ = bigrams(words, docs)
+        for hashes, places, docs, _ in _opened(batches):
+            v, w, _ = bigrams(hashes, places, docs)
             _, first, n = np.unique(_mix(v, w), return_index=True, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(v[first]), pa.array(w[first]), pa.array(n)], ["v", "w", "n"])
 
-    seen = data.mapInArrow(count_bigrams, "v long, w long, n long").groupBy("v", "w").agg(F.sum("n").alias("n"))
+    seen = chunks.mapInArrow(count_bigrams, "v long, w long, n long").groupBy("v", "w").agg(F.sum("n").alias("n"))
     seen, seen_path = written(seen.where(F.col("n") >= min_count), "bigrams")
 
     def counted(df: DataFrame, word: str) -> DataFrame:
@@ -158,30 +177,32 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
     others = others.unionByName(rare.select(F.lit(NO_WORD).cast("long").alias("v"), F.col("code").alias("w"), (F.log("c") + base).alias("value")))
 
     def explode(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[pa.RecordBatch]:
-        """The n-grams of a slice that aren't frequent, by document; in the first slice also a row of the frequent ones' sum."""
-        for words, docs, ids in _chunks(batches, chunk):
-            v, w, doc = bigrams(words, docs)
-            at, there = _look_up(paired.value[0], _pair(v, w))
-            lone = w < 0
-            gram_v, gram_w = np.append(v[~there], np.full(lone.sum(), NO_WORD)), np.append(w[~there], w[lone])
-            gram_doc = np.append(doc[~there], doc[lone])
-            mine = _mix(gram_v, gram_w) % np.uint64(slices) == part
-            gram_v, gram_w, gram_doc = gram_v[mine], gram_w[mine], gram_doc[mine]
+        """The n-grams of a slice that aren't frequent, by document, and a row of the frequent ones' sum for each document."""
+        for hashes, places, docs, ids in _opened(batches):
+            v, w, doc = bigrams(hashes, places, docs)
+            n, own = np.zeros(len(ids), np.int64), np.zeros(len(ids))
+            lone = (w < 0) & (w % slices == part)
+            if part == 0:
+                n += np.bincount(doc, minlength=len(ids))
+                own += np.bincount(doc, np.where(w > 0, shared.value[1][np.maximum(w, 0)], 0.0), len(ids))
+            mine = _mix(v, w) % np.uint64(slices) == part
+            gram_v, gram_w, gram_doc = v[mine], w[mine], doc[mine]
+            at, there = _look_up(paired.value[0], _pair(gram_v, gram_w))
+            own += np.bincount(gram_doc[there], paired.value[1][at[there]], len(ids))
+            gram_v = np.append(gram_v[~there], np.full(lone.sum(), NO_WORD))
+            gram_w, gram_doc = np.append(gram_w[~there], w[lone]), np.append(gram_doc[~there], doc[lone])
             order = np.argsort(gram_doc, kind="stable")
             yield pa.RecordBatch.from_arrays([pa.array(gram_v[order]), pa.array(gram_w[order]), ids.take(pa.array(gram_doc[order])), pa.nulls(len(order), pa.int64()), pa.nulls(len(order), pa.float64())], ["v", "w", "id", "n", "known"])
-            if part == 0:
-                sums = np.where(lone, 0.0, shared.value[1][np.maximum(w, 0)])
-                sums[there] += paired.value[1][at[there]]
-                own, n = np.bincount(doc, sums, len(ids)).astype(np.float64), np.bincount(doc, minlength=len(ids)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), NO_WORD)), pa.array(np.arange(1, len(ids) + 1)), ids, pa.array(n), pa.array(own)], ["v", "w", "id", "n", "known"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), NO_WORD)), pa.array(np.arange(1, len(ids) + 1)), ids, pa.array(n), pa.array(own)], ["v", "w", "id", "n", "known"])
 
     parts = max(1, math.ceil(total / rows / slices))
     table = others.repartition(parts, "v", "w").hint("shuffle_hash")
     told = []
     for part in range(slices):
-        grams = data.mapInArrow(lambda batches, part=part: explode(batches, part), "v long, w long, id long, n long, known double")
+        grams = chunks.mapInArrow(lambda batches, part=part: explode(batches, part), "v long, w long, id long, n long, known double")
         met = grams.repartition(parts, "v", "w").join(table, ["v", "w"], "left").select("id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("known", "value").alias("score")).where("score is not null")
         told.append(written(met.groupBy("id").agg(F.sum("n").alias("n"), F.sum("score").alias("score")), f"scores-{part}")[0])
+    discard(spark, chunks_path)
     discard(spark, words_path)
     discard(spark, values_path)
     every = data.select("id", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("score"))
