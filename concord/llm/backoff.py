@@ -12,8 +12,8 @@ the values of all words and seen bigrams of a document: n-grams joined to a tabl
 4. n-grams are exploded by document, joined to the values in hash partitions and summed by document.
 
 Words and bigrams with a share of min_share or more (at most 1 / min_share of each) are frequent. Their values are broadcast
-and summed where the document is read, so no frequent key is ever shuffled and no partition is hot. The last pass runs
-once for each of some slices of the hashes, so that only one slice is on disk at a time.
+and summed where the document is read, so no frequent key is ever shuffled and no partition is hot. The last two
+passes run once for each of some slices of the hashes, so that only one slice's shuffle is on disk at a time.
 """
 
 from __future__ import annotations
@@ -152,14 +152,20 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
         same = docs[1:] == docs[:-1]
         return code[:-1][same], code[1:][same], docs[1:][same]
 
-    def count_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count_bigrams(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[pa.RecordBatch]:
         for hashes, places, docs, _ in _opened(batches):
             v, w, _ = bigrams(hashes, places, docs)
-            _, first, n = np.unique(_mix(v, w), return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(v[first]), pa.array(w[first]), pa.array(n)], ["v", "w", "n"])
+            key = _mix(v, w)
+            mine = key % np.uint64(slices) == part
+            _, first, n = np.unique(key[mine], return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(v[mine][first]), pa.array(w[mine][first]), pa.array(n)], ["v", "w", "n"])
 
-    seen = chunks.mapInArrow(count_bigrams, "v long, w long, n long").groupBy("v", "w").agg(F.sum("n").alias("n"))
-    seen, seen_path = written(seen.where(F.col("n") >= min_count), "bigrams")
+    seen_paths = []
+    for part in range(slices):
+        found = chunks.mapInArrow(lambda batches, part=part: count_bigrams(batches, part), "v long, w long, n long")
+        found = found.groupBy("v", "w").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
+        seen_paths.append(written(found, f"bigrams-{part}")[1])
+    seen = spark.read.parquet(*seen_paths)
 
     def counted(df: DataFrame, word: str) -> DataFrame:
         """df with the count of a word; only rare words are joined by a shuffle."""
@@ -168,7 +174,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
 
     worth = F.log("n") - F.log("c_v") - F.log("c_w") - F.lit(base)
     values, values_path = written(counted(counted(seen, "v"), "w").select("v", "w", "n", worth.alias("value")), "values")
-    discard(spark, seen_path)
+    for path in seen_paths:
+        discard(spark, path)
     top = values.where(F.col("n") >= least).toPandas()
     keys = _pair(top["v"].to_numpy(np.int64), top["w"].to_numpy(np.int64))
     order = np.argsort(keys)
