@@ -9,7 +9,7 @@ the values of all words and seen bigrams of a document: n-grams joined to a tabl
 1. texts are split once, and written as the hashes of their words in chunks of documents;
 2. words are counted;
 3. bigrams are counted by hash; those seen get their words' counts by joins, and so their corrections;
-4. n-grams are exploded by document, joined to the values in hash partitions and summed by document.
+4. n-grams are exploded by document, as one hash each, joined to the values in hash partitions and summed by document.
 
 Words and bigrams with a share of min_share or more (at most 1 / min_share of each) are frequent. Their values are broadcast
 and summed where the document is read, so no frequent key is ever shuffled and no partition is hot. The last two
@@ -111,7 +111,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
     """(id, n_scored, log_score), one row per distinct id (of an integer type; null counts as an id).
 
     Rows that share an id are scored as one document, without a bigram across rows. Texts of fewer than two words, empty
-    and null ones have 0 and 0. Words are told apart by 63-bit hashes. Extra columns are ignored.
+    and null ones have 0 and 0. Words are told apart by 63-bit hashes, and their bigrams by 64-bit ones of both in the last
+    pass. Extra columns are ignored.
 
     A chunk holds that many words and one document's more at most; rows is about how many n-grams a partition gets.
     """
@@ -183,36 +184,44 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
     others = values.where(F.col("n") < least).select("v", "w", "value")
     others = others.unionByName(rare.select(F.lit(NO_WORD).cast("long").alias("v"), F.col("code").alias("w"), (F.log("c") + base).alias("value")))
 
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = _mix(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(2)], ["key", "value"])
+
     def explode(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[pa.RecordBatch]:
         """The n-grams of a slice that aren't frequent, by document, and a row of the frequent ones' sum for each document."""
         for hashes, places, docs, ids in _opened(batches):
             v, w, doc = bigrams(hashes, places, docs)
-            n, own = np.zeros(len(ids), np.int64), np.zeros(len(ids))
-            lone = (w < 0) & (w % slices == part)
+            key, own = _mix(v, w), np.zeros(len(ids))
             if part == 0:
-                n += np.bincount(doc, minlength=len(ids))
                 own += np.bincount(doc, np.where(w > 0, shared.value[1][np.maximum(w, 0)], 0.0), len(ids))
-            mine = _mix(v, w) % np.uint64(slices) == part
-            gram_v, gram_w, gram_doc = v[mine], w[mine], doc[mine]
-            at, there = _look_up(paired.value[0], _pair(gram_v, gram_w))
-            own += np.bincount(gram_doc[there], paired.value[1][at[there]], len(ids))
-            gram_v = np.append(gram_v[~there], np.full(lone.sum(), NO_WORD))
-            gram_w, gram_doc = np.append(gram_w[~there], w[lone]), np.append(gram_doc[~there], doc[lone])
+            mine = np.flatnonzero(key % np.uint64(slices) == part)
+            at, there = _look_up(paired.value[0], _pair(v[mine], w[mine]))
+            own += np.bincount(doc[mine[there]], paired.value[1][at[there]], len(ids))
+            mine, lone = mine[~there], np.flatnonzero((w < 0) & (w % slices == part))
+            gram_key = np.append(key[mine], _mix(np.full(len(lone), NO_WORD), w[lone])).view(np.int64)
+            gram_doc = np.append(doc[mine], doc[lone])
             order = np.argsort(gram_doc, kind="stable")
-            yield pa.RecordBatch.from_arrays([pa.array(gram_v[order]), pa.array(gram_w[order]), ids.take(pa.array(gram_doc[order])), pa.nulls(len(order), pa.int64()), pa.nulls(len(order), pa.float64())], ["v", "w", "id", "n", "known"])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), NO_WORD)), pa.array(np.arange(1, len(ids) + 1)), ids, pa.array(n), pa.array(own)], ["v", "w", "id", "n", "known"])
+            yield pa.RecordBatch.from_arrays([pa.array(gram_key[order]), ids.take(pa.array(gram_doc[order])), pa.nulls(len(order), pa.float64())], ["key", "id", "known"])
+            some = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array(some), ids.take(pa.array(some)), pa.array(own[some])], ["key", "id", "known"])
+
+    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for sizes, ids in zip(batch.column(0), batch.column(1), strict=True):
+                n = np.maximum(np.frombuffer(sizes.as_buffer(), np.int32).astype(np.int64) - 1, 0)
+                yield pa.RecordBatch.from_arrays([ids.values, pa.array(n)], ["id", "n"])
 
     parts = max(1, math.ceil(total / rows / slices))
-    table = others.repartition(parts, "v", "w").hint("shuffle_hash")
-    told = []
+    table = others.mapInArrow(keyed, "key long, value double").repartition(parts, "key").hint("shuffle_hash")
+    every = written(chunks.select("sizes", "ids").mapInArrow(lengths, "id long, n long"), "lengths")[0].select("id", "n", F.lit(0.0).alias("score"))
     for part in range(slices):
-        grams = chunks.mapInArrow(lambda batches, part=part: explode(batches, part), "v long, w long, id long, n long, known double")
-        met = grams.repartition(parts, "v", "w").join(table, ["v", "w"], "left").select("id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("known", "value").alias("score")).where("score is not null")
-        told.append(written(met.groupBy("id").agg(F.sum("n").alias("n"), F.sum("score").alias("score")), f"scores-{part}")[0])
+        grams = chunks.mapInArrow(lambda batches, part=part: explode(batches, part), "key long, id long, known double")
+        met = grams.repartition(parts, "key").join(table, "key", "left").select("id", F.coalesce("known", "value").alias("score")).where("score is not null")
+        told = written(met.groupBy("id").agg(F.sum("score").alias("score")), f"scores-{part}")[0]
+        every = every.unionByName(told.select("id", F.lit(0).cast("long").alias("n"), "score"))
     discard(spark, chunks_path)
     discard(spark, words_path)
     discard(spark, values_path)
-    every = data.select("id", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("score"))
-    for one in told:
-        every = every.unionByName(one)
     return every.groupBy("id").agg(F.sum("n").alias("n_scored"), F.sum("score").alias("log_score"))
