@@ -19,8 +19,10 @@ passes run once for each of some slices of the hashes, so that only one slice's
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,7 @@ from .common import discard, scratch, small_batches
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 NO_WORD = 0  # stands for the first word where a row is about one word
+TWO_LEVELS = "spark.sql.codegen.aggregate.map.twolevel.enabled"
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SPLITS = "spark.sql.files.minPartitionNum"
 TASK = 4_000_000  # words that a task of the later passes reads, about
@@ -48,7 +51,7 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Whole documents with some size words together: their distinct words' hashes, the place of each word among these, the
     number of words of each document, and the ids."""
-    known: dict[bytes, int] = {}
+    known: defaultdict[bytes, int] = defaultdict(count().__next__)  # places in order of appearance, without a step of Python a word
     words: list[np.ndarray] = []
     ids: list[int | None] = []
     held = 0
@@ -62,13 +65,13 @@ def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
     for batch in batches:
         for id_, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             found = data.as_buffer().to_pybytes().split() if data.is_valid else []
-            words.append(np.fromiter((known.setdefault(w, len(known)) for w in found), np.int32, len(found)))
+            words.append(np.fromiter(map(known.__getitem__, found), np.int32, len(found)))
             ids.append(id_)
             held += len(found)
             if held >= size:
                 yield told()
-                known.clear(), words.clear(), ids.clear()
-                held = 0
+                known, held = defaultdict(count().__next__), 0
+                words.clear(), ids.clear()
     if words:
         yield told()
 
@@ -121,7 +124,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
     data = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("data"))
 
     # shuffles are deleted as soon as what they were for is written, as their files count for more than the tables
-    settings = {CLEAN_UP: "true"}
+    # a first small map for hot keys is of no use, as each chunk has told its repeated keys as one row
+    settings = {CLEAN_UP: "true", TWO_LEVELS: "false"}
 
     def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
         path = scratch(spark, name)
@@ -157,9 +161,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
         for hashes, places, docs, _ in _opened(batches):
             v, w, _ = bigrams(hashes, places, docs)
             key = _mix(v, w)
-            mine = key % np.uint64(slices) == part
-            _, first, n = np.unique(key[mine], return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(v[mine][first]), pa.array(w[mine][first]), pa.array(n)], ["v", "w", "n"])
+            mine = np.flatnonzero(key % np.uint64(slices) == part)
+            mine = mine[np.argsort(key[mine])]
+            first = np.flatnonzero(np.append(True, key[mine[1:]] != key[mine[:-1]])[: len(mine)])
+            n = np.diff(np.append(first, len(mine)))
+            yield pa.RecordBatch.from_arrays([pa.array(v[mine[first]]), pa.array(w[mine[first]]), pa.array(n)], ["v", "w", "n"])
 
     seen_paths = []
     for part in range(slices):
