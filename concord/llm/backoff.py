@@ -174,13 +174,19 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
         seen_paths.append(written(found, f"bigrams-{part}")[1])
     seen = spark.read.parquet(*seen_paths)
 
-    def counted(df: DataFrame, word: str) -> DataFrame:
-        """df with the count of a word; only rare words are joined by a shuffle."""
-        known = [c.withColumnsRenamed({"code": word, "c": f"c_{word}"}) for c in (often, rare)]
-        return df.where(F.col(word) > 0).join(known[0], word).unionByName(df.where(F.col(word) < 0).join(known[1], word))
+    parts = max(1, math.ceil(total / rows / slices))
+    rarer = rare.withColumnsRenamed({"code": "key", "c": "c_rare"}).repartition(parts, "key").hint("shuffle_hash")
+
+    def counted(df: DataFrame, word: str, other: str) -> DataFrame:
+        """df with the count of a word. Rows of a frequent one have it from the broadcast, and go through the shuffle under their
+        other word as a key that no rare word has."""
+        key = F.when(F.col(word) < 0, F.col(word)).otherwise(F.col(other).bitwiseAND((1 << 63) - 1))
+        met = df.join(often.withColumnsRenamed({"code": word, "c": "c_often"}), word, "left").withColumn("key", key)
+        met = met.repartition(parts, "key").join(rarer, "key", "left")
+        return met.withColumn(f"c_{word}", F.coalesce("c_often", "c_rare")).drop("key", "c_often", "c_rare")
 
     worth = F.log("n") - F.log("c_v") - F.log("c_w") - F.lit(base)
-    values, values_path = written(counted(counted(seen, "v"), "w").select("v", "w", "n", worth.alias("value")), "values")
+    values, values_path = written(counted(counted(seen, "v", "w"), "w", "v").select("v", "w", "n", worth.alias("value")), "values")
     for path in seen_paths:
         discard(spark, path)
     top = values.where(F.col("n") >= least).toPandas()
@@ -219,7 +225,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
                 n = np.maximum(np.frombuffer(sizes.as_buffer(), np.int32).astype(np.int64) - 1, 0)
                 yield pa.RecordBatch.from_arrays([ids.values, pa.array(n)], ["id", "n"])
 
-    parts = max(1, math.ceil(total / rows / slices))
     table = others.mapInArrow(keyed, "key long, value double").repartition(parts, "key").hint("shuffle_hash")
     every = written(chunks.select("sizes", "ids").mapInArrow(lengths, "id long, n long"), "lengths")[0].select("id", "n", F.lit(0.0).alias("score"))
     for part in range(slices):
