@@ -36,3 +36,13 @@ def test_nearest_against_all_pairs(spark, monkeypatch):
         got[r["sid"]].append((r["tid"], r["score"]))
     assert {s: [t for t, _ in x] for s, x in got.items()} == {s: [t for t, _ in x] for s, x in want.items()}
     assert all(a == pytest.approx(b, abs=2e-9) for s in want for (_, a), (_, b) in zip(got[s], want[s], strict=True))
+
+
+def test_dense_leaves_out_what_has_no_cosine_and_keeps_ties_by_id(spark, monkeypatch):
+    for name, value in (("VECTORS_ASKING", 2), ("VECTORS_ASKED", 3), ("SCORES", 4)):
+        monkeypatch.setattr(nearest, name, value)
+    vectors = lambda rows: spark.createDataFrame(rows, "id long, vec array<float>")
+    one = vectors([(0, [1.0, 0.0]), (3, [0.0, 0.0]), (6, None), (9, [1e-30, 1e-30])])
+    two = vectors([(i, [2.0, 0.0]) for i in (8, 2, 5, 7, 1)] + [(4, [3.0, 3.0]), (10, [0.0, 0.0]), (11, [1.0, None]), (13, [float("nan"), 1.0])])
+    got = [tuple(r) for r in retrieval.dense(one, two, 3).orderBy("sid", "rank").collect()]
+    assert got == [(0, 1, 1.0, 1), (0, 2, 1.0, 2), (0, 5, 1.0, 3), (9, 4, 1.0, 1), (9, 1, 0.707106781, 2), (9, 2, 0.707106781, 3)]
