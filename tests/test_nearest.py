@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from concord.operators import nearest, retrieval
+from concord.operators import matching, nearest, retrieval
 
 
 def test_nearest_compares_no_pair_of_copies(spark):
@@ -46,3 +46,13 @@ def test_dense_leaves_out_what_has_no_cosine_and_keeps_ties_by_id(spark, monkeyp
     two = vectors([(i, [2.0, 0.0]) for i in (8, 2, 5, 7, 1)] + [(4, [3.0, 3.0]), (10, [0.0, 0.0]), (11, [1.0, None]), (13, [float("nan"), 1.0])])
     got = [tuple(r) for r in retrieval.dense(one, two, 3).orderBy("sid", "rank").collect()]
     assert got == [(0, 1, 1.0, 1), (0, 2, 1.0, 2), (0, 5, 1.0, 3), (9, 4, 1.0, 1), (9, 1, 0.707106781, 2), (9, 2, 0.707106781, 3)]
+
+
+def test_matchers_compute_only_what_they_read(spark):
+    """The features that a matcher reads are some of all; the others used to be computed and written with every pair."""
+    from concord.plans import extensions
+
+    pairs, first, links = extensions._scored(spark, "/root/testdata/sf0.001")
+    assert set(pairs.columns) == {*extensions.USED, "label", "fold", "prob"}
+    got = matching.hard_negatives(pairs).groupBy("sid").count()
+    assert got.where("count > 3").isEmpty() and not got.isEmpty()
