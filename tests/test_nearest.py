@@ -1,5 +1,6 @@
 import math
 import random
+import threading
 from collections import Counter
 
 import pytest
@@ -56,3 +57,20 @@ def test_matchers_compute_only_what_they_read(spark):
     assert set(pairs.columns) == {*extensions.USED, "label", "fold", "prob"}
     got = matching.hard_negatives(pairs).groupBy("sid").count()
     assert got.where("count > 3").isEmpty() and not got.isEmpty()
+
+
+def test_retrievers_of_a_query_run_at_once_on_all_cores(spark, monkeypatch):
+    """One after another none would pass the barrier; a small table used to stay in one partition in all of their stages."""
+    from concord.plans import extensions
+
+    barrier, parts = threading.Barrier(3, timeout=60), []
+
+    def retriever(first, others):
+        barrier.wait()
+        parts.append((first.rdd.getNumPartitions(), others.rdd.getNumPartitions()))
+        return first.select(F.col("entity_id").alias("sid"))
+
+    monkeypatch.setattr(extensions, "RETRIEVERS", dict.fromkeys("abc", retriever))
+    found, *_ = extensions._found(spark, "/root/testdata/sf0.001")
+    cores = spark.sparkContext.defaultParallelism
+    assert list(found) == ["a", "b", "c"] and parts == [(cores, cores)] * 3
