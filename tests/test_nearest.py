@@ -74,3 +74,12 @@ def test_retrievers_of_a_query_run_at_once_on_all_cores(spark, monkeypatch):
     found, *_ = extensions._found(spark, "/root/testdata/sf0.001")
     cores = spark.sparkContext.defaultParallelism
     assert list(found) == ["a", "b", "c"] and parts == [(cores, cores)] * 3
+
+
+def test_pair_features_weigh_no_words(spark, monkeypatch):
+    """The query has no feature of rare words, yet it exploded and joined the words of every pair."""
+    from concord.plans import extensions
+
+    monkeypatch.setattr(extensions.retrieval, "frequencies", lambda *_: pytest.fail("frequencies of words that no column needs"))
+    plan = extensions.er_pair_features(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("name_words1") and plan.count("split(") <= 4
