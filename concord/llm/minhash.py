@@ -1,4 +1,6 @@
-"""Texts of a given Jaccard similarity of their shingle sets: MinHash bands find candidates, the sets themselves decide.
+"""Texts of a given Jaccard similarity of their shingle sets: fingerprints and MinHash bands find candidates, the sets decide.
+
+Fingerprints (see simhash.close) find the texts that are nearly equal. Bands find the others, which are most of those at 0.8.
 
 A text is its set of distinct shingles (64-bit hashes). BANDS keys of ROWS minima each are drawn from it; two texts meet if
 they share a key, which at Jaccard 0.8 fails with probability (1 - 0.8^4)^24 = 3e-6. Whoever meets is compared by its whole
@@ -54,6 +56,9 @@ def node_of(members: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(members.tobytes())
 
 
+WORDLESS = int(np.uint64(node_of(np.zeros(0, np.uint64))).view(np.int64))  # the node of all texts without a word
+
+
 def row_key(text: Column) -> Column:
     """A text's own hash; with the id it tells rows apart."""
     return F.xxhash64(text.cast("binary"))
@@ -85,21 +90,22 @@ def forest(sets: list[np.ndarray], part: np.ndarray, least: Fraction) -> list[tu
 
 
 def nodes_of(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, key, node, bands): one row per row of non-null id."""
+    """(id, key, node, fp, bands): one row per row of non-null id; fp is the fingerprint of the distinct shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_set(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle) for x in batch.column(2)]
             node = np.array([node_of(s) for s in found], np.uint64).view(np.int64)
+            fp = np.array([simhash.folded(s[at : at + simhash.BLOCK] for at in range(0, len(s), simhash.BLOCK)) for s in found], np.uint64).view(np.int64)
             bands = [band_keys(s) for s in found]
             offsets = np.concatenate([[0], np.cumsum([len(b) for b in bands])]).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.uint64), *bands]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["id", "key", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), pa.array(fp), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["id", "key", "node", "fp", "bands"])
 
     small_batches(docs.sparkSession)
     kind, text = docs.schema[id_col].dataType.simpleString(), F.col(f"`{text_col}`")
     narrow = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), row_key(text).alias("key"), text.cast("binary").alias("data"))
-    return narrow.mapInArrow(run, f"id {kind}, key long, node long, bands array<long>")
+    return narrow.mapInArrow(run, f"id {kind}, key long, node long, fp long, bands array<long>")
 
 
 def texts_of(docs: DataFrame, id_col: str, text_col: str, chosen: DataFrame) -> DataFrame:
@@ -142,16 +148,17 @@ def _settled(batches: Iterator[pa.RecordBatch], shingle: int, least: Fraction) -
     yield from links()
 
 
-def links(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, nodes: DataFrame) -> DataFrame:
+def links(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, nodes: DataFrame, close: DataFrame) -> DataFrame:
     """(a, b): nodes of Jaccard similarity or more, connecting what all such pairs that meet connect.
 
-    nodes: (node, id, key, bands), one row a node, id and key those of a row that has it.
+    nodes: (node, id, key, bands), one row a node, id and key those of a row that has it. close: (a, b), a < b, pairs of nodes
+    that meet by their fingerprints.
     """
     least = Fraction(str(similarity))
     index = nodes.select(F.explode("bands").alias("bucket"), "node")
     hubs = index.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("bucket", "hub")
     met = durable(index.join(hubs, "bucket").where("node <> hub"))
-    pairs = durable(met.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    pairs = durable(met.select(F.col("hub").alias("a"), F.col("node").alias("b")).unionByName(close.select("a", "b")).distinct())
     held = durable(texts_of(docs, id_col, text_col, nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")))
     one, two = held.select(F.col("node").alias("a"), F.col("data").alias("x")), held.select(F.col("node").alias("b"), F.col("data").alias("y"))
     both = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").sortWithinPartitions("b")

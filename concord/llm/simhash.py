@@ -10,7 +10,7 @@ unvisited, which needs eight bytes a fingerprint and few comparisons when the bu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,15 +47,20 @@ def _hashes(data: bytes, shingle: int, seed: int) -> Iterator[np.ndarray]:
         yield np.fromiter((xxhash.xxh64_intdigest(joined[s:e], seed) for s, e in pairs), np.uint64)
 
 
-def fingerprint(data: bytes, shingle: int = 4, seed: int = 42) -> int:
-    """Unsigned fingerprint of UTF-8 text: a bit is set if it is set in over half of the shingles' XXH64."""
+def folded(blocks: Iterable[np.ndarray]) -> int:
+    """Unsigned fingerprint of hashes that come in blocks: a bit is set if it is set in over half of them."""
     total, count = np.zeros(64, np.int64), 0
-    for hashes in _hashes(data, shingle, seed):
+    for hashes in blocks:
         total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         count += len(hashes)
     return sum(1 << int(i) for i in np.flatnonzero(2 * total > count))
 
 
+def fingerprint(data: bytes, shingle: int = 4, seed: int = 42) -> int:
+    """Unsigned fingerprint of UTF-8 text: a bit is set if it is set in over half of the shingles' XXH64."""
+    return folded(_hashes(data, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """(id, fp) with fp as a signed long, one row per input row. Null or blank text: 0. Extra columns are ignored."""
 
@@ -208,12 +213,21 @@ def hex_of(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")
 
 
+def close(nodes: DataFrame, max_bits: int = 4) -> DataFrame:
+    """(a, b), a < b: nodes that connect all of (node, fp) whose fingerprints are equal or linked (see links)."""
+    heads = durable(nodes.groupBy("fp").agg(F.min("node").alias("head")))
+    equal = nodes.select("node", "fp").join(heads, "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    one, two = heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), heads.select(F.col("fp").alias("b"), F.col("head").alias("y"))
+    linked = links(heads.select("fp"), max_bits).join(one, "a").join(two, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return durable(equal.unionByName(linked))
+
+
 def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
     """(id, key, component_id), one row per input row of non-null id; key is minhash.row_key of its text."""
     marked = durable(minhash.nodes_of(docs, id_col, text_col, shingle))
-    nodes = marked.groupBy("node").agg(F.min(F.struct("id", "key")).alias("own"), F.first("bands").alias("bands"))
-    nodes = durable(nodes.select("node", "own.*", "bands"))
-    found = components(minhash.links(docs, id_col, text_col, shingle, similarity, nodes))
+    nodes = marked.groupBy("node").agg(F.min(F.struct("id", "key")).alias("own"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    nodes = durable(nodes.select("node", "own.*", "fp", "bands"))
+    found = components(minhash.links(docs, id_col, text_col, shingle, similarity, nodes, close(nodes.where(F.col("node") != minhash.WORDLESS))))
     rooted = nodes.select("node", "id").join(sized(found), "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
     classes = rooted.select("node", "root").join(least, "root")
@@ -223,8 +237,9 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
 def resembling(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, component_id), one row per input row of non-null id: groups linked by pairs of the given shingle Jaccard or more.
 
-    Jaccard is that of the sets of distinct word shingles. Candidates come from MinHash bands, and every link is verified
-    over both sets (see minhash). Texts without a word resemble each other.
+    Jaccard is that of the sets of distinct word shingles. Candidates are texts whose fingerprints over these sets differ in
+    four bits or fewer (see links), and, as pairs at a Jaccard of 0.8 mostly lie further apart, those that share a MinHash
+    band; every link is verified over both sets (see minhash). Texts without a word resemble each other.
     """
     return _grouped(docs, id_col, text_col, shingle, similarity).select("id", "component_id")
 

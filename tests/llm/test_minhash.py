@@ -2,8 +2,9 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from concord.llm import simhash
+from concord.llm import minhash, simhash
 
 DATA = "/root/testdata/sf0.01"
 
@@ -93,3 +94,30 @@ def test_texts_below_the_threshold_and_with_repeated_lines_are_left(spark):
 def test_a_repeated_id_loses_only_its_copied_text(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (5, "a b c d e f"), (5, "u v w x y z"), (7, "u v w x y z")], "doc_id long, text string")
     assert sorted(tuple(r) for r in simhash.dedup(docs).collect()) == [(1, "a b c d e f"), (5, "u v w x y z")]
+
+
+def test_texts_within_four_bits_meet_by_their_fingerprints(spark, monkeypatch):
+    """Without any band: the stage's links used to come from bands alone."""
+    rng, rows = np.random.default_rng(17), []
+    for g in range(80):
+        text = " ".join(f"w{x}" for x in rng.integers(0, 10**9, 150 + g))
+        rows += [(3 * g, text), (3 * g + 1, f"{text} more"), (3 * g + 2, " ".join(pair(rng, 90 + g, 0.8)))]
+    prints = {d: simhash.fingerprint(t.encode(), 5) for d, t in rows}
+    within = {g for g in range(80) if (prints[3 * g] ^ prints[3 * g + 1]).bit_count() <= 4}
+    assert len(within) > 60
+    of = minhash.nodes_of
+    monkeypatch.setattr(minhash, "nodes_of", lambda *a: of(*a).withColumn("bands", F.array().cast("array<long>")))
+    assert told(spark, rows) == {d: d - 1 if d % 3 == 1 and d // 3 in within else d for d, _ in rows}
+
+
+def test_equal_and_linked_fingerprints_make_candidates_not_links(spark):
+    nodes = spark.createDataFrame([(5, 9), (2, 9), (7, 9), (4, 8), (3, 1 << 40)], "node long, fp long")
+    assert sorted(tuple(r) for r in simhash.close(nodes).collect()) == [(2, 3), (2, 4), (2, 5), (2, 7), (3, 4)]
+    rows = [(1, "a b c d e f"), (2, "a b c d e g")]  # two shingles each, one shared: 1 in 3
+    assert told(spark, rows) == {1: 1, 2: 2}
+
+
+def test_a_fingerprint_near_zero_does_not_meet_texts_without_a_word(spark):
+    texts = (" ".join(f"{n}x{i}" for i in range(6)) for n in range(10**6))
+    text = next(t for t in texts if simhash.fingerprint(t.encode(), 5).bit_count() <= 4)
+    assert told(spark, [(1, None), (2, text), (3, " "), (4, f"{text} ")]) == {1: 1, 2: 2, 3: 1, 4: 2}
