@@ -1,15 +1,15 @@
-"""Texts of a given Jaccard similarity of their shingle sets: fingerprints and MinHash bands find candidates, the sets decide.
-
-Fingerprints (see simhash.close) find the texts that are nearly equal. Bands find the others, which are most of those at 0.8.
-
-A text is its set of distinct shingles (64-bit hashes). BANDS keys of ROWS minima each are drawn from it; two texts meet if
-they share a key, which at Jaccard 0.8 fails with probability (1 - 0.8^4)^24 = 3e-6. Whoever meets is compared by its whole
-set, and only pairs at or over the threshold are links. Texts of equal sets are one node, so copies are never paired. What
-moves to be compared are the texts, which are smaller than their sets.
-
-Large buckets are not expanded into pairs. First each member is compared with its bucket's smallest node; those that are
-linked have a part in common. In buckets where more than one part is left beside that node, the sets themselves are brought
-together, and every member is compared with all that it is not connected to yet.
+"""Texts of a given Jaccard similarity of their shingle sets: fingerprints find candidates, the sets decide.
+
+A text is its set of distinct shingles (64-bit hashes). Candidates come by one-wildcard variants of fingerprints (see
+simhash): of the text's own one, over all its shingles, at four bits or fewer; and of BANDS more, each over other hashes of
+the set, as four bits mean near equality. At Jaccard 0.8 a bit of those differs with probability 0.152, two texts meet in one
+band with 0.36, and miss each other in all with 3e-6 (2e-5 for the least favourable sizes of sets, under 15). There is no
+MinHash here any more; the module's name is that of its tests. Whoever meets is compared by its whole set, and only pairs at
+or over the threshold are links. Texts of equal sets are one node, so copies are never paired. What moves to be compared are
+the texts, which are smaller than their sets.
+
+Large buckets are not expanded into pairs but to a forest of their candidates. What such forests connect and the links don't
+is settled among the sets themselves: they are brought together, and each is compared with all that it is not connected to.
 """
 
 from __future__ import annotations
@@ -25,11 +25,14 @@ from pyspark.sql import functions as F
 
 from . import simhash
 from .common import durable, sized, small_batches
+from .components import components
 
-BANDS, ROWS = 24, 4
-SLICE = 2048  # shingles whose minima are taken at a time
-_DRAWN = np.random.default_rng(20).integers(0, 2**32, (2, BANDS * ROWS), dtype=np.uint32)
-FLIP, TIMES = _DRAWN[0], _DRAWN[1] | np.uint32(1)
+BANDS = 28
+SLICE = 255  # members whose bits are counted at a time, in bytes
+_DRAWN = np.random.default_rng(20).integers(0, 2**64, (2, BANDS), dtype=np.uint64)
+HELD = 64  # sets kept by a task that verifies pairs
+FLIP, TIMES = _DRAWN[0], _DRAWN[1] | np.uint64(1)
+COMMON = np.uint64(0x5851F42D4C957F2D)  # a member that all sets are given, so that small ones differ in fewer bits
 
 
 def shingle_set(data: bytes, shingle: int) -> np.ndarray:
@@ -38,18 +41,15 @@ def shingle_set(data: bytes, shingle: int) -> np.ndarray:
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
 
-def band_keys(members: np.ndarray) -> np.ndarray:
-    """One key for each band; none of an empty set."""
-    if not len(members):
-        return np.zeros(0, np.uint64)
-    short, least = (members >> np.uint64(32)).astype(np.uint32), np.full(BANDS * ROWS, 2**32 - 1, np.uint32)
-    for at in range(0, len(short), SLICE):
-        least = np.minimum(least, ((short[at : at + SLICE, None] ^ FLIP) * TIMES).min(axis=0))
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for column in least.reshape(BANDS, ROWS).T.astype(np.uint64):
-        key = (key ^ column) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(29)
-    return key
+def bands_of(members: np.ndarray) -> np.ndarray:
+    """BANDS fingerprints of a set: a bit is set if it is set in over half of its members' hashes."""
+    members, total = np.append(members, COMMON), np.zeros(64 * BANDS, np.int64)
+    for at in range(0, len(members), SLICE):
+        x = (members[at : at + SLICE, None] ^ FLIP) * TIMES
+        x = (x ^ x >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+        total += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * total > len(members), bitorder="little").view(np.uint64)
 
 
 def node_of(members: np.ndarray) -> int:
@@ -89,18 +89,27 @@ def forest(sets: list[np.ndarray], part: np.ndarray, least: Fraction) -> list[tu
     return found
 
 
-def nodes_of(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, key, node, fp, bands): one row per row of non-null id; fp is the fingerprint of the distinct shingles."""
+def nodes_of(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """(id, key, node, fp, bands): one row per row of non-null id.
+
+    fp is the text's fingerprint (see simhash.fingerprint), bands are those of its set; sets that are too small to have a
+    different one at the similarity have none.
+    """
+    least = Fraction(str(similarity))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle) for x in batch.column(2)]
-            node = np.array([node_of(s) for s in found], np.uint64).view(np.int64)
-            fp = np.array([simhash.folded(s[at : at + simhash.BLOCK] for at in range(0, len(s), simhash.BLOCK)) for s in found], np.uint64).view(np.int64)
-            bands = [band_keys(s) for s in found]
+            node, fp, bands = [], [], []
+            for x in batch.column(2):
+                hashes = list(simhash._hashes(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle, 42))
+                members = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
+                node.append(node_of(members))
+                fp.append(simhash.folded(hashes))
+                bands.append(bands_of(members) if _alike(len(members), 2 * len(members) + 1, least) and hashes else np.zeros(0, np.uint64))
             offsets = np.concatenate([[0], np.cumsum([len(b) for b in bands])]).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.uint64), *bands]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), pa.array(fp), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["id", "key", "node", "fp", "bands"])
+            longs = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in (node, fp)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *longs, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["id", "key", "node", "fp", "bands"])
 
     small_batches(docs.sparkSession)
     kind, text = docs.schema[id_col].dataType.simpleString(), F.col(f"`{text_col}`")
@@ -117,14 +126,20 @@ def texts_of(docs: DataFrame, id_col: str, text_col: str, chosen: DataFrame) ->
 
 
 def _verified(batches: Iterator[pa.RecordBatch], shingle: int, least: Fraction) -> Iterator[pa.RecordBatch]:
-    """Links among (a, b, x, y), sorted by b, y the text of b."""
-    last, two = None, np.zeros(0, np.uint64)
+    """Links among (a, b, x, y), sorted by b, x and y the texts of a and b."""
+    held: dict[int, np.ndarray] = {}
+
+    def members(node: int, text: pa.Scalar) -> np.ndarray:
+        found = held.pop(node, None)
+        held[node] = shingle_set(text.as_buffer().to_pybytes(), shingle) if found is None else found
+        if len(held) > HELD:
+            del held[next(iter(held))]  # that used longest ago
+        return held[node]
+
     for batch in batches:
         ok = []
-        for b, x, y in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-            if b != last:
-                last, two = b, shingle_set(y.as_buffer().to_pybytes(), shingle)
-            one = shingle_set(x.as_buffer().to_pybytes(), shingle)
+        for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            one, two = members(a, x), members(b, y)
             ok.append(bool(_alike(len(np.intersect1d(one, two, assume_unique=True)), len(one) + len(two), least)))
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
@@ -148,27 +163,23 @@ def _settled(batches: Iterator[pa.RecordBatch], shingle: int, least: Fraction) -
     yield from links()
 
 
-def links(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, nodes: DataFrame, close: DataFrame) -> DataFrame:
+def links(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, nodes: DataFrame, met: DataFrame) -> DataFrame:
     """(a, b): nodes of Jaccard similarity or more, connecting what all such pairs that meet connect.
 
-    nodes: (node, id, key, bands), one row a node, id and key those of a row that has it. close: (a, b), a < b, pairs of nodes
-    that meet by their fingerprints.
+    nodes: (node, id, key), one row a node, id and key those of a row that has it. met: (a, b, thinned), a < b, pairs of nodes
+    that meet; those thinned stand for all pairs that they connect.
     """
     least = Fraction(str(similarity))
-    index = nodes.select(F.explode("bands").alias("bucket"), "node")
-    hubs = index.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("bucket", "hub")
-    met = durable(index.join(hubs, "bucket").where("node <> hub"))
-    pairs = durable(met.select(F.col("hub").alias("a"), F.col("node").alias("b")).unionByName(close.select("a", "b")).distinct())
+    pairs = durable(met.groupBy("a", "b").agg(F.max("thinned").alias("thinned")))
     held = durable(texts_of(docs, id_col, text_col, nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")))
     one, two = held.select(F.col("node").alias("a"), F.col("data").alias("x")), held.select(F.col("node").alias("b"), F.col("data").alias("y"))
     both = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").sortWithinPartitions("b")
     near = durable(both.mapInArrow(lambda it: _verified(it, shingle, least), "a long, b long"))
+    if (trees := pairs.where("thinned")).isEmpty():
+        return near
 
-    # a is the smaller node of each link so far; two steps down them leave few parts that are connected, and none that isn't
-    up = durable(near.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")))
-    on = up.select(F.col("node").alias("root"), F.col("root").alias("next"))
-    parts = up.join(on, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-    rest = durable(met.join(parts, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("part")))
+    buckets, parts = components(trees).withColumnRenamed("root", "bucket"), components(near)
+    rest = durable(buckets.join(parts, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("part")))
     open_ = rest.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("bucket")
     left = rest.join(open_, "bucket").join(held, "node").select("bucket", "node", "part", "data")
     more = left.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _settled(it, shingle, least), "a long, b long")

@@ -15,18 +15,21 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import minhash
-from .common import durable, sized, small_batches, unused
+from .common import durable, shuffles_dropped, sized, small_batches, unused
 from .components import components
 
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 BLOCK = 1 << 14  # shingles hashed at a time
 LANE = 28  # bits of a key below its lane
+TURN = 34  # and below what else tells it from others
+AT_ONCE = 1 << 24  # index rows that are dealt at a time
 DENSE = 6  # links of a small bucket from which they are thinned
 SMALL = 64  # buckets up to this size compare all pairs by shifts
+APART = np.array([((1 << width) - 1) << offset if bit else 0 for offset, width in SEGMENTS for bit in range(width)], np.uint64)
 
 
 def _hashes(data: bytes, shingle: int, seed: int) -> Iterator[np.ndarray]:
@@ -74,18 +77,29 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return narrow.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, fp long")
 
 
+def _lane(key: np.ndarray) -> np.ndarray:
+    return key >> LANE & (1 << TURN - LANE) - 1
+
+
 def _near(bits: np.ndarray, most: int) -> np.ndarray:
     """Which words (or rows of words, added up) have at most so many bits."""
     count = np.bitwise_count(bits)
     return (count if count.ndim == 1 else count.sum(axis=1)) <= most
 
 
-def _small_links(key: np.ndarray, sig: np.ndarray, lane_bits: int, max_bits: int) -> list[np.ndarray]:
+def _segment(key: np.ndarray, once: bool) -> np.ndarray:
+    """The bits in which some one has to differ for a pair to count in a bucket, if it is to count once for equal segments:
+    none in the first variant of a segment, in which they meet, that segment's in the others."""
+    return APART[key >> 22 & 63] if once else np.zeros_like(key, np.uint64)
+
+
+def _small_links(key: np.ndarray, sig: np.ndarray, lane_bits: int, max_bits: int, apart: np.ndarray) -> list[np.ndarray]:
     """Index pairs of the links of all pairs of equal key, by shifting the sorted rows against themselves."""
-    own = sig[np.arange(len(key)), key >> LANE]
+    own = sig[np.arange(len(key)), _lane(key)]
     found, at, shift = [], np.arange(len(key)), 1
     while len(at := at[at + shift < len(key)]) and len(at := at[key[at] == key[at + shift]]):
-        hit = at[_near(own[at] ^ own[at + shift], lane_bits)]
+        bits = own[at] ^ own[at + shift]
+        hit = at[_near(bits, lane_bits) & ((bits & apart[at] != 0) | (apart[at] == 0))]
         hit = hit[_near(sig[hit] ^ sig[hit + shift], max_bits)]
         if len(hit):
             found.append(np.stack([hit, hit + shift]))
@@ -93,7 +107,7 @@ def _small_links(key: np.ndarray, sig: np.ndarray, lane_bits: int, max_bits: int
     return found
 
 
-def _thinned(found: list[np.ndarray], key: np.ndarray, sig: np.ndarray, lane_bits: int, max_bits: int) -> list[np.ndarray]:
+def _thinned(found: list[np.ndarray], key: np.ndarray, sig: np.ndarray, lane_bits: int, max_bits: int, apart: np.ndarray) -> list[np.ndarray]:
     """The same links, but a spanning forest in each bucket that has DENSE links or more."""
     if not found:
         return found
@@ -104,18 +118,19 @@ def _thinned(found: list[np.ndarray], key: np.ndarray, sig: np.ndarray, lane_bit
     out = [every[:, np.repeat(~dense, count)]]
     for k, s, n in zip(keys[dense].tolist(), first[dense].tolist(), count[dense].tolist(), strict=True):
         rows = np.unique(every[:, s : s + n])
-        out += [rows[e] for e in forest(sig[rows], k >> LANE, lane_bits, max_bits)]
+        out += [rows[e] for e in forest(sig[rows], _lane(k), lane_bits, max_bits, apart[rows[0]])]
     return out
 
 
-def forest(sig: np.ndarray, lane: int, lane_bits: int, max_bits: int) -> list[np.ndarray]:
+def forest(sig: np.ndarray, lane: int, lane_bits: int, max_bits: int, apart: np.uint64 = np.uint64(0)) -> list[np.ndarray]:
     """Index pairs of a spanning forest of the links among signatures: each one reached is compared with the unvisited only."""
     own, found, rest = sig[:, lane], [], np.arange(len(sig))
     while len(rest) > 1:
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             x = queue.pop()
-            hit = np.flatnonzero(_near(own[rest] ^ own[x], lane_bits))
+            bits = own[rest] ^ own[x]
+            hit = np.flatnonzero(_near(bits, lane_bits) & (bits & apart != 0) if apart else _near(bits, lane_bits))
             hit = hit[_near(sig[rest[hit]] ^ sig[x], max_bits)]
             if len(hit):
                 new = rest[hit]
@@ -125,26 +140,33 @@ def forest(sig: np.ndarray, lane: int, lane_bits: int, max_bits: int) -> list[np
     return found
 
 
-def _links(batches: Iterator[pa.RecordBatch], lane_bits: int, max_bits: int, out: list[str]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key; the last key of a block may go on in the next one."""
+def _links(batches: Iterator[pa.RecordBatch], lane_bits: int, max_bits: int, out: list[str], lanes: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by key; the last key of a block may go on in the next one.
+
+    Of columns beyond the lanes, only these are returned, and last whether the link is one of a bucket's forest. Then a pair
+    whose segments are equal, which meets in all of their variants, counts in the first.
+    """
     held_key: list[np.ndarray] = []
     held_sig: list[np.ndarray] = []
 
-    def settle(key: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def settle(key: np.ndarray, every: np.ndarray) -> Iterator[pa.RecordBatch]:
+        sig, told = every[:, :lanes], every[:, lanes:] if every.shape[1] > lanes else every
         edge = np.flatnonzero(np.diff(key)) + 1
         first = np.concatenate([[0], edge])
         size = np.diff(np.concatenate([first, [len(key)]]))
-        found = []
         big = size > SMALL
-        for s, n in zip(first[big].tolist(), size[big].tolist(), strict=True):
-            found += [e + s for e in forest(sig[s : s + n], int(key[s]) >> LANE, lane_bits, max_bits)]
         at = np.flatnonzero(np.repeat(~big, size))
-        small, own = key[at], sig[at]
-        found += [at[e] for e in _thinned(_small_links(small, own, lane_bits, max_bits), small, own, lane_bits, max_bits)]
+        small, own, apart = key[at], sig[at], _segment(key, told is not every)
+        found = [at[e] for e in _thinned(_small_links(small, own, lane_bits, max_bits, apart[at]), small, own, lane_bits, max_bits, apart[at])]
+        whole = found[0].shape[1] if found else 0  # links of buckets that aren't thinned come first
+        for s, n in zip(first[big].tolist(), size[big].tolist(), strict=True):
+            found += [e + s for e in forest(sig[s : s + n], _lane(int(key[s])), lane_bits, max_bits, apart[s])]
         if found:
             a, b = np.concatenate(found, axis=1)
-            columns = np.concatenate([sig[a], sig[b]], axis=1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns.T], out)
+            columns = [pa.array(np.ascontiguousarray(x)) for x in np.concatenate([told[a], told[b]], axis=1).view(np.int64).T]
+            if told is not every:
+                columns.append(pa.array(np.arange(len(a)) >= whole))
+            yield pa.RecordBatch.from_arrays(columns, out)
 
     for batch in batches:
         if not batch.num_rows:
@@ -160,6 +182,18 @@ def _links(batches: Iterator[pa.RecordBatch], lane_bits: int, max_bits: int, out
         yield from settle(np.concatenate(held_key), np.concatenate(held_sig))
 
 
+def _variants(name: str, lane: int = 0) -> list[Column]:
+    """Keys of a fingerprint's 64 one-wildcard variants of segments."""
+    variants, number = [], 0
+    for offset, width in SEGMENTS:
+        for bit in range(width):
+            mask = ((1 << width) - 1) & ~(1 << bit)
+            part = F.shiftrightunsigned(name, offset).bitwiseAND(F.lit(mask).cast("long"))
+            variants.append(part.bitwiseOR(F.lit((lane << LANE) | (number << 22)).cast("long")))
+            number += 1
+    return variants
+
+
 def signature_links(sigs: DataFrame, names: list[str], lane_bits: int, max_bits: int) -> DataFrame:
     """(a<name>.., b<name>..): links that connect exactly what all links connect; no link of the set is lost by thinning.
 
@@ -167,18 +201,35 @@ def signature_links(sigs: DataFrame, names: list[str], lane_bits: int, max_bits:
     a one-wildcard segment and differ in at most lane_bits, and in all lanes together in at most max_bits. Rows carry their
     whole signature to the buckets, so a bucket's forest is one of verified links.
     """
-    variants, number = [], 0
-    for offset, width in SEGMENTS:
-        for bit in range(width):
-            mask = ((1 << width) - 1) & ~(1 << bit)
-            for lane, name in enumerate(names):
-                part = F.shiftrightunsigned(name, offset).bitwiseAND(F.lit(mask).cast("long"))
-                variants.append(part.bitwiseOR(F.lit((lane << LANE) | (number << 22)).cast("long")))
-            number += 1
+    variants = [v for lane, name in enumerate(names) for v in _variants(name, lane)]
     index = sigs.select(F.explode(F.array(*variants)).alias("key"), *names)
     met = index.repartition("key").sortWithinPartitions("key", *names)  # one order in all buckets: their trees agree more
     out = [f"{side}{n}" for side in "ab" for n in names]
-    return met.mapInArrow(lambda batches: _links(batches, lane_bits, max_bits, out), ", ".join(f"{c} long" for c in out)).distinct()
+    return met.mapInArrow(lambda batches: _links(batches, lane_bits, max_bits, out, len(names)), ", ".join(f"{c} long" for c in out)).distinct()
+
+
+def meeting(nodes: DataFrame, lane_bits: int = 16, max_bits: int = 24) -> DataFrame:
+    """(a, b, thinned), a < b: pairs of (node, bands) that meet in a band; each band is a fingerprint of its own.
+
+    Two meet in a band if they share a one-wildcard segment of that fingerprint and differ in at most lane_bits of it, and in
+    max_bits of it and the next one (the first after the last). Both travel with the key, so that what meets by chance, whose
+    number grows as n^2 / 2^20, isn't written. Of a bucket with many links only a forest is returned; these are thinned.
+    Bands are dealt some at a time, AT_ONCE rows or one band, and their shuffles deleted, so that the disk holds no more.
+    """
+    kinds, keyed = "a long, b long, thinned boolean", {"a": F.least("a", "b"), "b": F.greatest("a", "b")}
+    rows, bands = nodes.agg(F.count("*"), F.max(F.size("bands"))).first()
+    found = nodes.sparkSession.createDataFrame([], kinds)
+    step = max(1, AT_ONCE // (64 * max(rows, 1)))
+    with shuffles_dropped(nodes.sparkSession):
+        for at in range(0, bands or 0, step):
+            some = nodes.select("node", "bands", F.posexplode(F.slice("bands", at + 1, step)).alias("turn", "own"))
+            beside = F.element_at("bands", (F.col("turn") + (at + 1)) % bands + 1).alias("beside")
+            index = some.select(F.explode(F.array(*_variants("own"))).alias("key"), "turn", "own", beside, "node")
+            met = index.select(F.shiftleft(F.col("turn").cast("long"), TURN).bitwiseOR(F.col("key")).alias("key"), "own", "beside", "node")
+            dealt = met.repartition("key").sortWithinPartitions("key", "node")
+            pairs = dealt.mapInArrow(lambda batches: _links(batches, lane_bits, max_bits, ["a", "b", "thinned"], 2), kinds).withColumns(keyed)
+            found = found.unionByName(durable(pairs.groupBy("a", "b").agg(F.max("thinned").alias("thinned"))))
+    return found
 
 
 def links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
@@ -214,20 +265,25 @@ def hex_of(fp: str = "fp"):
 
 
 def close(nodes: DataFrame, max_bits: int = 4) -> DataFrame:
-    """(a, b), a < b: nodes that connect all of (node, fp) whose fingerprints are equal or linked (see links)."""
+    """(a, b), a < b: nodes that connect all of (node, fp) whose fingerprints are equal or linked (see links).
+
+    A node may have several fingerprints: texts of one set of shingles that repeat them differently.
+    """
     heads = durable(nodes.groupBy("fp").agg(F.min("node").alias("head")))
     equal = nodes.select("node", "fp").join(heads, "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     one, two = heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), heads.select(F.col("fp").alias("b"), F.col("head").alias("y"))
     linked = links(heads.select("fp"), max_bits).join(one, "a").join(two, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    return durable(equal.unionByName(linked))
+    return durable(equal.unionByName(linked).where("a <> b"))
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
     """(id, key, component_id), one row per input row of non-null id; key is minhash.row_key of its text."""
-    marked = durable(minhash.nodes_of(docs, id_col, text_col, shingle))
-    nodes = marked.groupBy("node").agg(F.min(F.struct("id", "key")).alias("own"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
-    nodes = durable(nodes.select("node", "own.*", "fp", "bands"))
-    found = components(minhash.links(docs, id_col, text_col, shingle, similarity, nodes, close(nodes.where(F.col("node") != minhash.WORDLESS))))
+    marked = durable(minhash.nodes_of(docs, id_col, text_col, shingle, similarity))
+    nodes = marked.groupBy("node").agg(F.min(F.struct("id", "key")).alias("own"), F.first("bands").alias("bands"))
+    nodes = durable(nodes.select("node", "own.*", "bands"))
+    near = close(durable(marked.where(F.col("node") != minhash.WORDLESS).select("node", "fp").distinct()))
+    met = near.withColumn("thinned", F.lit(False)).unionByName(meeting(nodes))
+    found = components(minhash.links(docs, id_col, text_col, shingle, similarity, nodes, met))
     rooted = nodes.select("node", "id").join(sized(found), "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
     classes = rooted.select("node", "root").join(least, "root")
@@ -237,9 +293,10 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
 def resembling(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, component_id), one row per input row of non-null id: groups linked by pairs of the given shingle Jaccard or more.
 
-    Jaccard is that of the sets of distinct word shingles. Candidates are texts whose fingerprints over these sets differ in
-    four bits or fewer (see links), and, as pairs at a Jaccard of 0.8 mostly lie further apart, those that share a MinHash
-    band; every link is verified over both sets (see minhash). Texts without a word resemble each other.
+    Jaccard is that of the sets of distinct word shingles. Candidates are the links of the texts' fingerprints at four bits
+    (see links). As pairs at a Jaccard of 0.8 mostly lie further apart, more fingerprints are drawn from the sets, the bands,
+    and those that meet in one by the same variants are candidates too (see meeting); every link is verified over both sets
+    (see minhash). Texts without a word resemble each other.
     """
     return _grouped(docs, id_col, text_col, shingle, similarity).select("id", "component_id")
 

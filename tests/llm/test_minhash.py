@@ -121,3 +121,43 @@ def test_a_fingerprint_near_zero_does_not_meet_texts_without_a_word(spark):
     texts = (" ".join(f"{n}x{i}" for i in range(6)) for n in range(10**6))
     text = next(t for t in texts if simhash.fingerprint(t.encode(), 5).bit_count() <= 4)
     assert told(spark, [(1, None), (2, text), (3, " "), (4, f"{text} ")]) == {1: 1, 2: 2, 3: 1, 4: 2}
+
+
+def test_candidates_are_those_of_fingerprints_alone(spark):
+    """By brute force over the rule; the stage's candidates used to be MinHash's, and its fingerprints left repeats out."""
+    rng, texts = np.random.default_rng(23), []
+    for g in range(40):
+        texts += pair(rng, 60 + g, 0.8)
+    base = [f"w{x}" for x in rng.integers(0, 10**9, 200)]
+    texts += [" ".join(base[:k] + ["x"] + base[k + 1 :]) for k in range(12)]
+    texts += ["\n".join(["a line that is there again and again"] * 9 + texts[0].split()), "a b c d e f g"]
+    docs = spark.createDataFrame([(d, t) for d, t in enumerate(texts)], "doc_id long, text string")
+    nodes = minhash.nodes_of(docs, "doc_id", "text", 5, 0.8).localCheckpoint()
+    own = {r["id"]: r for r in nodes.collect()}
+    assert all(own[d]["fp"] % 2**64 == simhash.fingerprint(t.encode(), 5) for d, t in enumerate(texts))
+    assert own[len(texts) - 1]["bands"] == []  # three shingles: no other set is at 0.8
+
+    def meets(x, y):
+        bits = [(a ^ b) % 2**64 for a, b in zip(x, y, strict=True)]
+        return any(
+            any((b >> o & ((1 << w) - 1)).bit_count() <= 1 for o, w in simhash.SEGMENTS) and b.bit_count() <= 16 and b.bit_count() + c.bit_count() <= 24
+            for b, c in zip(bits, bits[1:] + bits[:1], strict=True)
+        )
+
+    told_apart = {r["node"]: r["bands"] for r in own.values() if r["bands"]}
+    want = {(a, b) for a, b in combinations(sorted(told_apart), 2) if meets(told_apart[a], told_apart[b])}
+    got = {}
+    for r in simhash.meeting(nodes.select("node", "bands")).collect():
+        got[r["a"], r["b"]] = got.get((r["a"], r["b"]), False) or r["thinned"]
+    root = {n: n for n in told_apart}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for (a, b), thinned in got.items():
+        if thinned:
+            root[find(a)] = find(b)
+    assert any(got.values()) and set(got) <= want and all(p in got or find(p[0]) == find(p[1]) for p in want)
+    assert all(tuple(sorted((own[d]["node"], own[d + 1]["node"]))) in got for d in range(0, 80, 2))
