@@ -26,7 +26,7 @@ SEGMENTS = ((0, 21), (21, 21), (42, 22))
 BLOCK = 1 << 14  # shingles hashed at a time
 LANE = 28  # bits of a key below its lane
 TURN = 34  # and below what else tells it from others
-AT_ONCE = 1 << 24  # index rows that are dealt at a time
+AT_ONCE = 1 << 21  # index rows that are dealt at a time
 DENSE = 6  # links of a small bucket from which they are thinned
 SMALL = 64  # buckets up to this size compare all pairs by shifts
 APART = np.array([((1 << width) - 1) << offset if bit else 0 for offset, width in SEGMENTS for bit in range(width)], np.uint64)
