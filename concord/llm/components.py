@@ -11,10 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import discard, durable, scratch
 
 
 PLAIN = 2  # rounds in which the smallest node is the smallest by itself: stars around it are done after one
+CUT = 3  # rounds after which edges are written as files: a checkpoint keeps its plan's estimated size, which is cubed a round
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 200) -> DataFrame:
@@ -26,7 +27,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 2
     spark = edges.sparkSession
     e = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a is not null and b is not null and a <> b").distinct()
     e = durable(e)
-    out = None
+    out, read = None, None
     for turn in range(max_rounds):
         if e.isEmpty():
             break
@@ -41,7 +42,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 2
         left = hop.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         right = hop.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         moved = e.join(left, "a").join(right, "b").where("ra <> rb")
-        e = durable(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        e, last = moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), read
+        if turn % CUT == CUT - 1:
+            e.write.parquet(read := scratch(spark, "edges"))
+            e = spark.read.schema(e.schema).parquet(read)
+        else:
+            e, read = durable(e), None
+        if last:
+            discard(spark, last)
     else:
         raise RuntimeError("components did not settle")
     if out is None:

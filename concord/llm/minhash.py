@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import durable, sized, small_batches
+from .common import durable, shuffles_dropped, sized, small_batches
 from .components import components
 
 BANDS = 28
@@ -76,9 +76,9 @@ def forest(sets: list[np.ndarray], part: np.ndarray, least: Fraction) -> list[tu
     _, value = np.unique(np.concatenate(sets), return_inverse=True)
     start = np.concatenate([[0], np.cumsum(length)[:-1]])
     part, found = part.copy(), []
-    for x in range(len(sets)):
+    for x in np.flatnonzero(part != np.bincount(part).argmax()).tolist():  # of two parts one isn't the largest
         if (part == part[x]).all():
-            continue
+            break
         held = np.zeros(value.max() + 1, np.int64)
         held[value[start[x] : start[x] + length[x]]] = 1
         hit = _alike(np.add.reduceat(held[value], start), length + length[x], least) & (part != part[x])
@@ -163,24 +163,35 @@ def _settled(batches: Iterator[pa.RecordBatch], shingle: int, least: Fraction) -
     yield from links()
 
 
-def links(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, nodes: DataFrame, met: DataFrame) -> DataFrame:
-    """(a, b): nodes of Jaccard similarity or more, connecting what all such pairs that meet connect.
+def verified(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, nodes: DataFrame, met: DataFrame) -> DataFrame:
+    """(a, b): the pairs of met (a, b, thinned, known), those known excepted, of Jaccard similarity or more.
 
-    nodes: (node, id, key), one row a node, id and key those of a row that has it. met: (a, b, thinned), a < b, pairs of nodes
-    that meet; those thinned stand for all pairs that they connect.
+    nodes: (node, id, key), one row a node, id and key those of a row that has it.
     """
     least = Fraction(str(similarity))
-    pairs = durable(met.groupBy("a", "b").agg(F.max("thinned").alias("thinned")))
-    held = durable(texts_of(docs, id_col, text_col, nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")))
-    one, two = held.select(F.col("node").alias("a"), F.col("data").alias("x")), held.select(F.col("node").alias("b"), F.col("data").alias("y"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").sortWithinPartitions("b")
-    near = durable(both.mapInArrow(lambda it: _verified(it, shingle, least), "a long, b long"))
-    if (trees := pairs.where("thinned")).isEmpty():
-        return near
+    with shuffles_dropped(docs.sparkSession):
+        pairs = durable(met.where("not known").select("a", "b").distinct())
+        held = durable(texts_of(docs, id_col, text_col, nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")))
+        one, two = held.select(F.col("node").alias("a"), F.col("data").alias("x")), held.select(F.col("node").alias("b"), F.col("data").alias("y"))
+        both = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").sortWithinPartitions("b")
+        return durable(both.mapInArrow(lambda it: _verified(it, shingle, least), "a long, b long"))
+
+
+def settled(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, nodes: DataFrame, trees: DataFrame, near: DataFrame) -> DataFrame:
+    """(a, b): the links near, and more that connect what all links among the nodes that trees (a, b) connect do.
 
+    nodes: as in verified.
+    """
+    trees = durable(trees.distinct())
+    if trees.isEmpty():
+        return near
+    least = Fraction(str(similarity))
     buckets, parts = components(trees).withColumnRenamed("root", "bucket"), components(near)
     rest = durable(buckets.join(parts, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("part")))
     open_ = rest.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("bucket")
-    left = rest.join(open_, "bucket").join(held, "node").select("bucket", "node", "part", "data")
-    more = left.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _settled(it, shingle, least), "a long, b long")
-    return near.unionByName(durable(more))
+    with shuffles_dropped(docs.sparkSession):
+        rest = durable(rest.join(open_, "bucket"))
+        held = texts_of(docs, id_col, text_col, nodes.join(rest.select("node"), "node"))
+        left = rest.join(held, "node").select("bucket", "node", "part", "data")
+        more = left.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _settled(it, shingle, least), "a long, b long")
+        return near.unionByName(durable(more))

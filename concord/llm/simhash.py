@@ -25,11 +25,13 @@ from .components import components
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 BLOCK = 1 << 14  # shingles hashed at a time
 LANE = 28  # bits of a key below its lane
-TURN = 34  # and below what else tells it from others
-AT_ONCE = 1 << 21  # index rows that are dealt at a time
+HALVES = tuple(h for o, w in SEGMENTS for h in ((o, w // 2), (o + w // 2, w - w // 2)))  # of segments, low and high by turns
+VALUE, TURN = 11, 14  # bits of a half's key below its number, and below the band's turn
+AT_ONCE = 1 << 22  # rows of halves that are dealt at a time
 DENSE = 6  # links of a small bucket from which they are thinned
+FIRST = 4  # bands whose links are verified before the others meet
 SMALL = 64  # buckets up to this size compare all pairs by shifts
-APART = np.array([((1 << width) - 1) << offset if bit else 0 for offset, width in SEGMENTS for bit in range(width)], np.uint64)
+MASKS = np.array([((1 << width) - 1) << offset for offset, width in HALVES], np.uint64)
 
 
 def _hashes(data: bytes, shingle: int, seed: int) -> Iterator[np.ndarray]:
@@ -78,7 +80,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _lane(key: np.ndarray) -> np.ndarray:
-    return key >> LANE & (1 << TURN - LANE) - 1
+    return key >> LANE
 
 
 def _near(bits: np.ndarray, most: int) -> np.ndarray:
@@ -87,19 +89,16 @@ def _near(bits: np.ndarray, most: int) -> np.ndarray:
     return (count if count.ndim == 1 else count.sum(axis=1)) <= most
 
 
-def _segment(key: np.ndarray, once: bool) -> np.ndarray:
-    """The bits in which some one has to differ for a pair to count in a bucket, if it is to count once for equal segments:
-    none in the first variant of a segment, in which they meet, that segment's in the others."""
-    return APART[key >> 22 & 63] if once else np.zeros_like(key, np.uint64)
+def _small_links(key: np.ndarray, own: np.ndarray, sig: np.ndarray, lane_bits: int, max_bits: int, apart: np.ndarray | None = None) -> list[np.ndarray]:
+    """Index pairs of the links of all pairs of equal key, by shifting the sorted rows against themselves.
 
-
-def _small_links(key: np.ndarray, sig: np.ndarray, lane_bits: int, max_bits: int, apart: np.ndarray) -> list[np.ndarray]:
-    """Index pairs of the links of all pairs of equal key, by shifting the sorted rows against themselves."""
-    own = sig[np.arange(len(key)), _lane(key)]
+    apart: bits in which some one has to differ for a pair to count, none for any.
+    """
     found, at, shift = [], np.arange(len(key)), 1
     while len(at := at[at + shift < len(key)]) and len(at := at[key[at] == key[at + shift]]):
         bits = own[at] ^ own[at + shift]
-        hit = at[_near(bits, lane_bits) & ((bits & apart[at] != 0) | (apart[at] == 0))]
+        near = _near(bits, lane_bits)
+        hit = at[near if apart is None else near & ((bits & apart[at] != 0) | (apart[at] == 0))]
         hit = hit[_near(sig[hit] ^ sig[hit + shift], max_bits)]
         if len(hit):
             found.append(np.stack([hit, hit + shift]))
@@ -107,7 +106,7 @@ def _small_links(key: np.ndarray, sig: np.ndarray, lane_bits: int, max_bits: int
     return found
 
 
-def _thinned(found: list[np.ndarray], key: np.ndarray, sig: np.ndarray, lane_bits: int, max_bits: int, apart: np.ndarray) -> list[np.ndarray]:
+def _thinned(found: list[np.ndarray], key: np.ndarray, sig: np.ndarray, lane_bits: int, max_bits: int) -> list[np.ndarray]:
     """The same links, but a spanning forest in each bucket that has DENSE links or more."""
     if not found:
         return found
@@ -118,7 +117,7 @@ def _thinned(found: list[np.ndarray], key: np.ndarray, sig: np.ndarray, lane_bit
     out = [every[:, np.repeat(~dense, count)]]
     for k, s, n in zip(keys[dense].tolist(), first[dense].tolist(), count[dense].tolist(), strict=True):
         rows = np.unique(every[:, s : s + n])
-        out += [rows[e] for e in forest(sig[rows], _lane(k), lane_bits, max_bits, apart[rows[0]])]
+        out += [rows[e] for e in forest(sig[rows], _lane(k), lane_bits, max_bits)]
     return out
 
 
@@ -140,46 +139,142 @@ def forest(sig: np.ndarray, lane: int, lane_bits: int, max_bits: int, apart: np.
     return found
 
 
-def _links(batches: Iterator[pa.RecordBatch], lane_bits: int, max_bits: int, out: list[str], lanes: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key; the last key of a block may go on in the next one.
-
-    Of columns beyond the lanes, only these are returned, and last whether the link is one of a bucket's forest. Then a pair
-    whose segments are equal, which meets in all of their variants, counts in the first.
-    """
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and the other columns, as unsigned, of rows that come sorted by key: blocks of whole keys."""
     held_key: list[np.ndarray] = []
-    held_sig: list[np.ndarray] = []
-
-    def settle(key: np.ndarray, every: np.ndarray) -> Iterator[pa.RecordBatch]:
-        sig, told = every[:, :lanes], every[:, lanes:] if every.shape[1] > lanes else every
-        edge = np.flatnonzero(np.diff(key)) + 1
-        first = np.concatenate([[0], edge])
-        size = np.diff(np.concatenate([first, [len(key)]]))
-        big = size > SMALL
-        at = np.flatnonzero(np.repeat(~big, size))
-        small, own, apart = key[at], sig[at], _segment(key, told is not every)
-        found = [at[e] for e in _thinned(_small_links(small, own, lane_bits, max_bits, apart[at]), small, own, lane_bits, max_bits, apart[at])]
-        whole = found[0].shape[1] if found else 0  # links of buckets that aren't thinned come first
-        for s, n in zip(first[big].tolist(), size[big].tolist(), strict=True):
-            found += [e + s for e in forest(sig[s : s + n], _lane(int(key[s])), lane_bits, max_bits, apart[s])]
-        if found:
-            a, b = np.concatenate(found, axis=1)
-            columns = [pa.array(np.ascontiguousarray(x)) for x in np.concatenate([told[a], told[b]], axis=1).view(np.int64).T]
-            if told is not every:
-                columns.append(pa.array(np.arange(len(a)) >= whole))
-            yield pa.RecordBatch.from_arrays(columns, out)
-
+    held: list[np.ndarray] = []
     for batch in batches:
         if not batch.num_rows:
             continue
         held_key.append(batch.column(0).to_numpy())
-        held_sig.append(np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1).view(np.uint64))
+        held.append(np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1).view(np.uint64))
         if held_key[0][0] != held_key[-1][-1] and sum(map(len, held_key)) >= BLOCK:
-            key, sig = np.concatenate(held_key), np.concatenate(held_sig)
+            key, rows = np.concatenate(held_key), np.concatenate(held)
             cut = int(np.searchsorted(key, key[-1]))
-            held_key, held_sig = [key[cut:]], [sig[cut:]]
-            yield from settle(key[:cut], sig[:cut])
+            held_key, held = [key[cut:]], [rows[cut:]]
+            yield key[:cut], rows[:cut]
     if held_key:
-        yield from settle(np.concatenate(held_key), np.concatenate(held_sig))
+        yield np.concatenate(held_key), np.concatenate(held)
+
+
+def _sizes(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First row and number of rows of each key."""
+    first = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
+    return first, np.diff(np.concatenate([first, [len(key)]]))
+
+
+def _links(batches: Iterator[pa.RecordBatch], lane_bits: int, max_bits: int, out: list[str]) -> Iterator[pa.RecordBatch]:
+    """Links within buckets of rows (key, signature)."""
+    for key, sig in _blocks(batches):
+        first, size = _sizes(key)
+        big = size > SMALL
+        at = np.flatnonzero(np.repeat(~big, size))
+        small, lanes = key[at], sig[at]
+        links = _small_links(small, lanes[np.arange(len(at)), _lane(small)], lanes, lane_bits, max_bits)
+        found = [at[e] for e in _thinned(links, small, lanes, lane_bits, max_bits)]
+        for s, n in zip(first[big].tolist(), size[big].tolist(), strict=True):
+            found += [e + s for e in forest(sig[s : s + n], _lane(int(key[s])), lane_bits, max_bits)]
+        if found:
+            a, b = np.concatenate(found, axis=1)
+            columns = np.concatenate([sig[a], sig[b]], axis=1).view(np.int64).T
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], out)
+
+
+def _spanned(sig: np.ndarray, part: np.ndarray, mask: np.uint64, low: bool, lane_bits: int, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of a spanning forest of the links among rows that share a half, and each row's tree.
+
+    mask: the bits of the segment's other half. Rows of one part are connected already; in a tree they hang on the first of
+    theirs that it reached. low: the other half is the low one, so equal segments count here.
+    """
+    own, tree, found, rest, trees = sig[:, 0], np.zeros(len(sig), np.int64), [], np.arange(len(sig)), 0
+
+    def take(reached: np.ndarray) -> list[int]:
+        """Takes out of the rest all rows of the parts of those reached, one of each part."""
+        nonlocal rest
+        order = np.argsort(part[reached])
+        reached = reached[order]
+        place = np.minimum(np.searchsorted(part[reached], part[rest]), len(reached) - 1)
+        same = part[reached[place]] == part[rest]
+        new, by = rest[same], reached[place[same]]
+        rest, tree[new] = rest[~same], trees
+        if (hung := new != by).any():
+            found.append(np.stack([by[hung], new[hung]]))
+        return new.tolist()
+
+    while len(rest):
+        queue = take(rest[:1])
+        while queue and len(rest):
+            x = queue.pop()
+            bits = own[rest] ^ own[x]
+            inner = np.bitwise_count(bits & mask)
+            hit = np.flatnonzero((inner <= 1) & (low | (inner > 0)) & _near(bits, lane_bits))
+            hit = hit[_near(sig[rest[hit]] ^ sig[x], max_bits)]
+            if len(hit):
+                reached = rest[hit]
+                reached = reached[np.unique(part[reached], return_index=True)[1]]
+                found.append(np.stack([np.full(len(reached), x), reached]))
+                queue.extend(take(reached))
+        trees += 1
+    return np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1), tree
+
+
+def _half_links(batches: Iterator[pa.RecordBatch], lane_bits: int, max_bits: int) -> Iterator[pa.RecordBatch]:
+    """(a, b, thinned, known) of rows (half's key, own, beside, node, part): the links of the one-wildcard variants of the other half.
+
+    A pair counts once for a segment. Where many meet in a half, only a spanning forest is returned of those of different
+    parts, thinned if a link was left out; known are its pairs of one part.
+    """
+    for key, rows in _blocks(batches):
+        sig, node, part = rows[:, :2], rows[:, 2], rows[:, 3]
+        half = (key >> VALUE) & (1 << TURN - VALUE) - 1
+        mask, low = MASKS[half ^ 1], half & 1 == 1
+        start = np.array([o for o, _ in HALVES], np.uint64)[half ^ 1]
+        other = ((sig[:, 0] & mask) >> start).astype(np.int64)
+        first, size = _sizes(key)
+        bucket = np.repeat(np.arange(len(first)), size)
+        found, large = [np.zeros((2, 0), np.int64)], [np.zeros((2, 0), np.int64)]
+        for bit in range(VALUE):
+            at = np.flatnonzero(bit < np.bitwise_count(mask))
+            fine = (bucket[at] << VALUE) | (other[at] & ~(1 << bit))
+            order = np.argsort(fine, kind="stable")
+            at, fine = at[order], fine[order]
+            if not len(at):
+                continue
+            begin, many = _sizes(fine)
+            apart = np.where(low[at] & (bit == 0), np.uint64(0), mask[at])  # equal segments meet in every variant
+            big = many > SMALL
+            few = np.flatnonzero(np.repeat(~big & (many > 1), many))
+            found += [at[few[e]] for e in _small_links(fine[few], sig[at[few], 0], sig[at[few]], lane_bits, max_bits, apart[few])]
+            for s, n in zip(begin[big].tolist(), many[big].tolist(), strict=True):
+                large += [at[e + s] for e in forest(sig[at[s : s + n]], 0, lane_bits, max_bits, apart[s])]
+        every, trees = np.concatenate(found, axis=1), np.concatenate(large, axis=1)
+        every = every[:, part[every[0]] != part[every[1]]]
+        links = np.bincount(bucket[every[0]], minlength=len(first))
+        dense = (links >= DENSE) | (np.bincount(bucket[trees[0]], minlength=len(first)) > 0)
+        out = [every[:, ~dense[bucket[every[0]]]]]
+        thinned = [np.zeros(out[0].shape[1], bool)]
+        both = np.concatenate([every, trees], axis=1)
+        both = both[:, np.argsort(bucket[both[0]], kind="stable")]
+        of = bucket[both[0]]
+        for k in np.flatnonzero(dense).tolist():
+            own = both[:, np.searchsorted(of, k) : np.searchsorted(of, k, "right")]
+            ends = np.unique(own)
+            ends = ends[np.argsort(node[ends])]  # one order in all buckets: their trees agree more
+            edges, tree = _spanned(sig[ends], part[ends], mask[first[k]], bool(low[first[k]]), lane_bits, max_bits)
+            edges, of_edge = ends[edges], tree[edges[0]]
+            apart_ = part[edges[0]] != part[edges[1]]
+            place = np.zeros(len(key), np.int64)
+            place[ends] = tree
+            count = np.bincount(place[every[0][bucket[every[0]] == k]], minlength=tree.max() + 1)
+            whole = count == np.bincount(of_edge[apart_], minlength=tree.max() + 1)
+            whole[place[trees[0][bucket[trees[0]] == k]]] = False
+            kept = apart_ | ~whole[of_edge]
+            out.append(edges[:, kept])
+            thinned.append(~whole[of_edge[kept]])
+        a, b = np.concatenate(out, axis=1)
+        if len(a):
+            ends = np.sort(np.stack([node[a], node[b]]).view(np.int64), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1]), pa.array(np.concatenate(thinned)), pa.array(part[a] == part[b])], ["a", "b", "thinned", "known"])
 
 
 def _variants(name: str, lane: int = 0) -> list[Column]:
@@ -205,30 +300,43 @@ def signature_links(sigs: DataFrame, names: list[str], lane_bits: int, max_bits:
     index = sigs.select(F.explode(F.array(*variants)).alias("key"), *names)
     met = index.repartition("key").sortWithinPartitions("key", *names)  # one order in all buckets: their trees agree more
     out = [f"{side}{n}" for side in "ab" for n in names]
-    return met.mapInArrow(lambda batches: _links(batches, lane_bits, max_bits, out, len(names)), ", ".join(f"{c} long" for c in out)).distinct()
+    return met.mapInArrow(lambda batches: _links(batches, lane_bits, max_bits, out), ", ".join(f"{c} long" for c in out)).distinct()
+
+
+def _half_keys(name: str) -> list[Column]:
+    """Keys of the halves of a fingerprint's segments."""
+    parts = [F.shiftrightunsigned(name, offset).bitwiseAND(F.lit((1 << width) - 1).cast("long")) for offset, width in HALVES]
+    return [part.bitwiseOR(F.lit(number << VALUE).cast("long")) for number, part in enumerate(parts)]
 
 
-def meeting(nodes: DataFrame, lane_bits: int = 16, max_bits: int = 24) -> DataFrame:
-    """(a, b, thinned), a < b: pairs of (node, bands) that meet in a band; each band is a fingerprint of its own.
+def meeting(nodes: DataFrame, lane_bits: int = 16, max_bits: int = 24, first: int = 0, last: int | None = None) -> DataFrame:
+    """(a, b, thinned, known), a < b: pairs of (node, bands) that meet in a band; each band is a fingerprint of its own.
 
     Two meet in a band if they share a one-wildcard segment of that fingerprint and differ in at most lane_bits of it, and in
-    max_bits of it and the next one (the first after the last). Both travel with the key, so that what meets by chance, whose
-    number grows as n^2 / 2^20, isn't written. Of a bucket with many links only a forest is returned; these are thinned.
-    Bands are dealt some at a time, AT_ONCE rows or one band, and their shuffles deleted, so that the disk holds no more.
+    max_bits of it and the next one (the first after the last). A wildcard is in one half of a segment, so the other half deals
+    the rows, six times a band, and the 64 variants are made where they meet. Both fingerprints travel with the key, so that
+    what meets by chance, whose number grows as n^2 / 2^20, isn't written.
+
+    Of those that share a half and have many links only a forest is returned, whose pairs are thinned if it leaves out a link.
+    Nodes of one part, if nodes have that column, are connected already: their links are left out, or known where a forest
+    runs over them. Bands from first up to last are dealt some at a time, AT_ONCE rows or one band, and their shuffles
+    deleted, so that the disk holds no more.
     """
-    kinds, keyed = "a long, b long, thinned boolean", {"a": F.least("a", "b"), "b": F.greatest("a", "b")}
+    kinds = "a long, b long, thinned boolean, known boolean"
     rows, bands = nodes.agg(F.count("*"), F.max(F.size("bands"))).first()
     found = nodes.sparkSession.createDataFrame([], kinds)
-    step = max(1, AT_ONCE // (64 * max(rows, 1)))
+    step = max(1, AT_ONCE // (len(HALVES) * max(rows, 1)))
+    last = min(bands or 0, last or bands or 0)
+    part = F.col("part" if "part" in nodes.columns else "node").alias("part")
     with shuffles_dropped(nodes.sparkSession):
-        for at in range(0, bands or 0, step):
-            some = nodes.select("node", "bands", F.posexplode(F.slice("bands", at + 1, step)).alias("turn", "own"))
+        for at in range(first, last, step):
+            some = nodes.select("node", part, "bands", F.posexplode(F.slice("bands", at + 1, min(step, last - at))).alias("turn", "own"))
             beside = F.element_at("bands", (F.col("turn") + (at + 1)) % bands + 1).alias("beside")
-            index = some.select(F.explode(F.array(*_variants("own"))).alias("key"), "turn", "own", beside, "node")
-            met = index.select(F.shiftleft(F.col("turn").cast("long"), TURN).bitwiseOR(F.col("key")).alias("key"), "own", "beside", "node")
-            dealt = met.repartition("key").sortWithinPartitions("key", "node")
-            pairs = dealt.mapInArrow(lambda batches: _links(batches, lane_bits, max_bits, ["a", "b", "thinned"], 2), kinds).withColumns(keyed)
-            found = found.unionByName(durable(pairs.groupBy("a", "b").agg(F.max("thinned").alias("thinned"))))
+            index = some.select(F.explode(F.array(*_half_keys("own"))).alias("key"), "turn", "own", beside, "node", "part")
+            met = index.select(F.shiftleft(F.col("turn").cast("long"), TURN).bitwiseOR(F.col("key")).alias("key"), "own", "beside", "node", "part")
+            dealt = met.repartition("key").sortWithinPartitions("key")
+            pairs = dealt.mapInArrow(lambda batches: _half_links(batches, lane_bits, max_bits), kinds)
+            found = found.unionByName(durable(pairs.groupBy("a", "b").agg(F.max("thinned").alias("thinned"), F.min("known").alias("known"))))
     return found
 
 
@@ -282,8 +390,14 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
     nodes = marked.groupBy("node").agg(F.min(F.struct("id", "key")).alias("own"), F.first("bands").alias("bands"))
     nodes = durable(nodes.select("node", "own.*", "bands"))
     near = close(durable(marked.where(F.col("node") != minhash.WORDLESS).select("node", "fp").distinct()))
-    met = near.withColumn("thinned", F.lit(False)).unionByName(meeting(nodes))
-    found = components(minhash.links(docs, id_col, text_col, shingle, similarity, nodes, met))
+    own = near.select("a", "b", F.lit(False).alias("thinned"), F.lit(False).alias("known"))
+    met = durable(own.unionByName(meeting(nodes, last=FIRST)))
+    linked = minhash.verified(docs, id_col, text_col, shingle, similarity, nodes, met)
+    joined = nodes.join(sized(components(linked)), "node", "left").select("node", "bands", F.coalesce("root", "node").alias("part"))
+    more = durable(meeting(durable(joined), first=FIRST))  # what the first links connect needn't meet again
+    linked = linked.unionByName(minhash.verified(docs, id_col, text_col, shingle, similarity, nodes, more))
+    trees = met.unionByName(more).where("thinned").select("a", "b")
+    found = components(minhash.settled(docs, id_col, text_col, shingle, similarity, nodes, trees, linked))
     rooted = nodes.select("node", "id").join(sized(found), "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
     classes = rooted.select("node", "root").join(least, "root")

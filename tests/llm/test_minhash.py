@@ -4,7 +4,7 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import functions as F
 
-from concord.llm import minhash, simhash
+from concord.llm import components, minhash, simhash
 
 DATA = "/root/testdata/sf0.01"
 
@@ -161,3 +161,39 @@ def test_candidates_are_those_of_fingerprints_alone(spark):
             root[find(a)] = find(b)
     assert any(got.values()) and set(got) <= want and all(p in got or find(p[0]) == find(p[1]) for p in want)
     assert all(tuple(sorted((own[d]["node"], own[d + 1]["node"]))) in got for d in range(0, 80, 2))
+
+
+def test_a_group_of_near_copies_is_compared_along_few_pairs(spark, monkeypatch):
+    """By what was linked before and one forest a half; each variant used to have a forest of its own, whatever was linked."""
+    rng = np.random.default_rng(29)
+    base, rows = [f"w{x}" for x in rng.integers(0, 10**9, 150)], []
+    for d in range(400):
+        words = list(base)
+        for at in rng.integers(0, 150, 2):
+            words[at] = f"x{rng.integers(0, 10**9)}"
+        rows.append((d, " ".join(words)))
+    compared, of = [], minhash.verified
+    monkeypatch.setattr(minhash, "verified", lambda *a: compared.append(a[-1].where("not known").count()) or of(*a))
+    assert told(spark, rows) == plain_groups(rows) == {d: 0 for d, _ in rows}
+    assert compared[0] < 400 * 20 and compared[1] < 400, compared
+
+
+def test_nodes_of_one_part_do_not_meet_again(spark):
+    rng, texts = np.random.default_rng(31), []
+    for g in range(30):
+        texts += pair(rng, 80 + g, 0.85)
+    docs = spark.createDataFrame([(d, t) for d, t in enumerate(texts)], "doc_id long, text string")
+    nodes = minhash.nodes_of(docs, "doc_id", "text", 5, 0.8).localCheckpoint()
+    assert simhash.meeting(nodes.select("node", "bands")).where("not known").count() >= 30
+    parted = nodes.select("node", "bands", F.floor(F.col("id") / 2).alias("part"))
+    assert simhash.meeting(parted).where("not known").count() == 0
+
+
+def test_components_of_a_chain_keep_their_estimates_small(spark, monkeypatch):
+    """The planner multiplies sizes at each join; they were kept from round to round until their digits took minutes."""
+    bits, of = [], components.durable
+    monkeypatch.setattr(components, "durable", lambda df: bits.append(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length()) or of(df))
+    edges = spark.range(300).select(F.xxhash64("id").alias("a"), F.xxhash64(F.col("id") + 1).alias("b"))
+    found = components.components(edges)
+    assert found.count() == 301 and found.select("root").distinct().count() == 1
+    assert len(bits) > 12 and max(bits) < 6000, max(bits)
