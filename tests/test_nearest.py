@@ -83,3 +83,17 @@ def test_pair_features_weigh_no_words(spark, monkeypatch):
     monkeypatch.setattr(extensions.retrieval, "frequencies", lambda *_: pytest.fail("frequencies of words that no column needs"))
     plan = extensions.er_pair_features(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and plan.count("name_words1") and plan.count("split(") <= 4
+
+
+def test_terms_are_made_once_a_text(spark):
+    """Terms and their digest used to be made for each record, and twice, however many records have the same text."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def split(x):
+        calls.add(1)
+        return x and x.split()
+
+    side = lambda p: spark.range(2000).select(F.concat(F.lit(p), F.lpad("id", 4, "0")).alias("entity_id"), F.when(F.col("id") % 4 > 0, F.concat(F.lit("7 "), F.col("id") % 4)).alias("x"))
+    got = retrieval.rare_terms(side("a"), side("b"), split(F.col("x")), 1, 0.02).collect()
+    assert {(r["sid"], r["tid"]) for r in got} == {(f"a{i:04}", f"b{i % 4:04}") for i in range(2000) if i % 4} and calls.value < 200
